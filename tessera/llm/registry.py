@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, personal_data
+from . import ann, chat, line_dedup, mixing, packing, personal_data, quality
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_chat_format": chat.op6_chat_format,
+    "op7_quality": quality.op7_quality,
+    "op9_packing": packing.op9_packing,
     "op10_personal_data": personal_data.op10_personal_data,
 }
 
