@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +16,32 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers started from here import this package wherever the session was started."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's shared checkpoint folder and reads it from there, so that lost executors can't lose it.
-
-    The folder is the one named in spark.checkpoint.dir; only a session without one (a local test) gets its own.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, from spark.checkpoint.dir; a session without one (a local test) gets its own."""
+    ship(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it from there, so that lost executors can't lose it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

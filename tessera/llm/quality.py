@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 GOOD, BAD, NONE = 1, 0, 2
 #: Documents that the scorer is fitted on, at most about so many; buckets of its hashed features; passes over the sample.
@@ -164,6 +164,7 @@ def _batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS, score_col: str = "score", weak_col: str = "weak_score", bad_col: str = "n_bad_votes") -> DataFrame:
     """docs with the scorer's probability of good, the label model's, and how many labellers voted bad."""
+    ship(docs.sparkSession)
     n_votes = len(LABELLERS)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
