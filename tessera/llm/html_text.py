@@ -270,8 +270,12 @@ class Wrapper:
             self.shapes.add(key)
             tree = page_tree(found, seen)
             self.tree = merged(self.tree, tree) if self.tree else tree
+        page: dict[tuple[str, ...], list] = {}
         for path, text, linked in found:
-            self._slot("\t".join(path), [1, len(text), linked, zlib.crc32(text.encode())])
+            slot = page.setdefault(path, [1, 0, 0, 0])
+            slot[1:] = slot[1] + len(text), slot[2] + linked, zlib.crc32(text.encode(), slot[3])
+        for path, slot in page.items():
+            self._slot("\t".join(path), slot)
 
     def _slot(self, path: str, new: list) -> None:
         old = self.slots.get(path)

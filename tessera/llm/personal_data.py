@@ -114,7 +114,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), "text"))
     words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
     hold = keyed.select("key", F.explode(words).alias("ctx")).join(_hint(patterns.select("ctx").distinct(), n_patterns), "ctx", "left_semi").select("key").distinct()
-    behind = keyed.dropDuplicates(["key"]).join(hold, "key", "left_semi").select("key", F.explode(_located(F.col("text"), WORD, -1)).alias("w"))
+    behind = keyed.dropDuplicates(["key"]).join(hold, "key", "left_semi").withColumn("x", _located(F.col("text"), WORD, -1))
+    behind = behind.select("key", F.explode(F.transform("x", lambda x, i: F.struct(x["s"].alias("s"), x["m"].alias("m"), F.lower(F.get("x", i - 1)["m"]).alias("ctx")))).alias("w"))
     lead, core = r"^[\"'(\[<{]+", r"[\"')\]>},;:!?.]+$"
     head = F.length("w.m") - F.length(F.regexp_replace("w.m", lead, ""))
     value = F.regexp_replace(F.regexp_replace("w.m", lead, ""), core, "")
