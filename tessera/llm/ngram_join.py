@@ -156,55 +156,43 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     chunks = cut(posts.withColumn("part", part).groupBy("token", "part").agg(F.collect_list(F.struct("n", "idx", "level", "l")).alias("x"), F.first("df").alias("df")))
     fields = lambda x, p="": [F.col(f"{x}.{c}").alias(p + c) for c in ("n", "idx", "level", "l")]
 
-    def partners(n, idx, level, ell, n2, idx2, level2) -> list[tuple[int, int, np.ndarray]]:
-        """For each probe of one chunk its partners in another: smaller or as large with a smaller number, levels within l."""
-        out = []
-        order = np.lexsort((idx2, n2))
-        n2, idx2, level2 = n2[order], idx2[order], level2[order]
-        low = np.searchsorted(n2, need(n, percent), "left")
-        high = np.searchsorted(n2, n, "right")
-        for k in np.flatnonzero((level <= ell) & (low < high)):
-            a, b = low[k], high[k]
-            ok = (level2[a:b] <= ell[k]) & ((n2[a:b] < n[k]) | (idx2[a:b] < idx[k]))
-            if ok.any():
-                out.append((int(idx[k]), int(ell[k]), idx2[a:b][ok]))
-        return out
-
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int, np.ndarray]] = []
-            for row in zip(*batch.columns, strict=True):
-                found += partners(*[x.values.to_numpy().astype(np.int64) for x in row])
-                if sum(len(x[2]) for x in found) > 1 << 20:
-                    yield _probe_batch(found)
-                    found = []
-            yield _probe_batch(found)
+            yield from _probe(batch, percent)
 
     alone = chunks.where(F.col("df") <= CHUNK).select(*fields("x"), *fields("x", "o_")[:3])
     crowded = cut(chunks.where(F.col("df") > CHUNK).select("token", "x"))
     met = crowded.join(crowded.select("token", F.col("x").alias("y")), "token").select(*fields("x"), *fields("y", "o_")[:3])
-    found = alone.union(met).mapInArrow(probed, "r long, l int, other binary")
+    found = alone.union(met).mapInArrow(probed, "r long, l int, other array<long>")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates: partners on at least l tokens; one row for each block that holds some."""
         names = ["rb", "ob", "r", "o"]
         for batch in batches:
-            rows: list[tuple[int, int, int, bytes]] = []
-            for r, ell, other in zip(*batch.columns, strict=True):
-                each, n = np.unique(np.frombuffer(b"".join(other.as_py()), dtype="<i8"), return_counts=True)
-                each = each[n >= ell.as_py()]
-                if len(each):
-                    at = each // block
-                    for o in np.split(each, np.flatnonzero(np.diff(at)) + 1):
-                        rows.append((r.as_py() // block, int(o[0]) // block, r.as_py(), o.astype("<i8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
-
-    gathered = found.groupBy("r").agg(F.first("l").alias("l"), F.collect_list("other").alias("other")).mapInArrow(counted, "rb long, ob long, r long, o binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                r, ell = part.column(0).to_numpy(), part.column(1).to_numpy()
+                lists = part.column(2).flatten()
+                per_row = np.add.reduceat(np.append(lists.value_lengths().to_numpy(zero_copy_only=False), 0), np.cumsum(np.r_[0, part.column(2).value_lengths().to_numpy(zero_copy_only=False)])[:-1]) if part.num_rows else np.zeros(0, np.int64)
+                other = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(len(r)), per_row)
+                order = np.lexsort((other, row))
+                row, other = row[order], other[order]
+                first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(other) != 0)]) if len(row) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[first, len(row)])
+                row, other = row[first], other[first]
+                enough = n >= ell[row]
+                row, other = row[enough], other[enough]
+                start = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(other // block) != 0)]) if len(row) else np.zeros(0, np.int64)
+                offsets = pa.array(np.r_[start, len(row)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(r[row[start]] // block), pa.array(other[start] // block), pa.array(r[row[start]]), pa.ListArray.from_arrays(offsets, pa.array(other))], names=names)
+
+    gathered = found.groupBy("r").agg(F.first("l").alias("l"), F.collect_list("other").alias("other")).mapInArrow(counted, "rb long, ob long, r long, o array<long>")
     wanted = cut(gathered.groupBy("rb", "ob").agg(F.collect_list(F.struct("r", "o")).alias("w")))
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.r_[[x["r"] for x in w.as_py()], np.frombuffer(b"".join(x["o"] for x in w.as_py()), dtype="<i8")] for w in batch.column(0)]
+            ids = [np.r_[w.values.field("r").to_numpy(), w.values.field("o").flatten().to_numpy()] for w in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)) if ids else np.zeros(0, np.int64), pa.int64())], names=["idx"])
 
     used = numbered.join(wanted.select("w").mapInArrow(touched, "idx long").distinct(), "idx").select("s", "idx")
@@ -235,7 +223,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
                 links = []
                 for x in w:
-                    for o in np.frombuffer(x["o"], dtype="<i8").tolist():
+                    for o in x["o"]:
                         a, b = top(x["r"]), top(o)
                         # two documents that links join already need no further link
                         if a != b and linked(got[x["r"]], got[o], percent):
@@ -250,8 +238,30 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return labelled.join(names, "c").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("s").alias("set_id"))
 
 
-def _probe_batch(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2].astype("<i8").tobytes() for x in found], pa.binary())], names=["r", "l", "other"])
+def _probe(batch: pa.RecordBatch, percent: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """For each probe of one chunk its partners in another, over all rows of a batch: smaller ones, or as large with a
+    smaller number, alike enough in size, and on levels within the probe's l. At most about `most` pairs are held at a time."""
+    first, second = batch.column(0), batch.column(4)
+    at_a, at_b = (np.r_[0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64) for x in (first, second))
+    n, idx, level, ell = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in range(4))
+    n2, idx2, level2 = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in (4, 5, 6))
+    least = need(n, percent)
+    sizes = np.diff(at_a) * np.diff(at_b)
+    done = np.cumsum(sizes)
+    row = 0
+    while row < len(sizes):
+        stop = max(row + 1, int(np.searchsorted(done, (done[row - 1] if row else 0) + most, "right")))
+        size, width = sizes[row:stop], np.diff(at_b)[row:stop]
+        own = np.repeat(np.arange(row, stop), size)
+        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        wide = np.repeat(width, size)
+        i, j = at_a[own] + within // wide, at_b[own] + within % wide
+        ok = (level[i] <= ell[i]) & (level2[j] <= ell[i]) & (n2[j] <= n[i]) & (n2[j] >= least[i]) & ((n2[j] < n[i]) | (idx2[j] < idx[i]))
+        i, j = i[ok], j[ok]
+        start = np.flatnonzero(np.r_[True, np.diff(i) != 0]) if len(i) else np.zeros(0, np.int64)
+        offsets = pa.array(np.r_[start, len(i)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(idx[i[start]]), pa.array(ell[i[start]].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(idx2[j]))], names=["r", "l", "other"])
+        row = stop
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
