@@ -172,6 +172,30 @@ add("p_proxy", Customer, {"project": ["c_custkey", "order_statuses"]}, "SELECT c
 add("p_default", Nation, {}, "SELECT n_name FROM nation", {"default_projection": ["n_name"]})
 
 
+add("p_bundled", Customer, {"project": ["name_length"], "limit": 5, "sort": ["c_custkey"]}, "SELECT CAST(length(c_name) AS INT) AS name_length FROM customer ORDER BY c_custkey LIMIT 5", {"bundled_project": {"name_length": ["c_name", "c_acctbal"]}})
+add("p_ensured", Customer, {"project": {"c_acctbal": 0, "c_name": 0, "c_mktsegment": 0, "order_statuses": 0}}, f"SELECT c_custkey, c_nationkey, nation_or_null, balance_band FROM {CUST}", {"ensure_loaded": ["c_name"]})
+add("p_default_exclude", Nation, {}, "SELECT n_nationkey, n_regionkey FROM nation", {"default_exclude": ["n_name"]})
+add("j_join_and_joinf", Orders, {"project": ["o_orderkey"], "filter": {"o_orderstatus": "P"}, "join": {"customer": {"project": ["c_name"]}}, "joinf": {"lineitems": {"project": ["l_linenumber"], "filter": {"l_quantity": {"$gt": 40}}}}}, "SELECT o_orderkey, c_name, l_linenumber FROM orders LEFT JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 WHERE o_orderstatus = 'P'", then=chain(flat("customer", "c_name"), flat("lineitems", "l_linenumber")))
+TOP_LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC NULLS FIRST, l_linenumber, l_partkey, l_suppkey, l_quantity) AS ln FROM lineitem)"
+add(
+    "j_limits_everywhere", Customer,
+    {"project": ["c_custkey"], "sort": ["c_acctbal-"], "limit": 30, "join": {"orders": {"project": ["o_orderkey"], "sort": ["o_totalprice-"], "limit": 2, "join": {"lineitems": {"project": ["l_extendedprice"], "sort": ["l_extendedprice-"], "limit": 1}}}}},
+    f"SELECT c_custkey, o_orderkey, l_extendedprice FROM (SELECT * FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 30) LEFT JOIN {RANKED} ON o_custkey = c_custkey AND rn <= 2 LEFT JOIN {TOP_LINES} ON l_orderkey = o_orderkey AND ln <= 1",
+    then=chain(flat("orders", "o_orderkey", "lineitems"), flat("lineitems", "l_extendedprice")),
+)
+add("j_one_of_many", Lineitem, {"project": ["l_partkey", "l_quantity"], "filter": {"l_quantity": {"$gte": 49}}, "join": {"order": {"project": ["o_orderstatus"], "join": {"customer": {"project": ["c_mktsegment"]}}}, "part": {"project": ["p_brand"]}}}, "SELECT l_partkey, l_quantity, o_orderstatus, c_mktsegment, p_brand FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49", then=chain(flat("order", "o_orderstatus", "customer"), flat("customer", "c_mktsegment"), flat("part", "p_brand")))
+add("a_group_joinf_sum", Orders, {"joinf": {"lineitems": {"filter": {"l_returnflag": "R"}}}, "filter": {"o_totalprice": {"$gt": 1000}}, "aggregate": {"p": "o_orderpriority", "n": {"$sum": 1}, "f": {"$sum": {"o_orderstatus": "F"}}}, "group": ["o_orderpriority"], "sort": ["o_orderpriority-"]}, "SELECT o_orderpriority AS p, count(*) AS n, CAST(sum(CAST(o_orderstatus = 'F' AS INT)) AS BIGINT) AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' WHERE o_totalprice > 1000 GROUP BY 1", OPEN)
+add("a_group_of_key", Nation, {"project": ["n_name"], "group": ["n_nationkey"]}, "SELECT n_name FROM nation")
+
+
+def _no_limit(spark: SparkSession, folder: str) -> DataFrame:
+    return Query(Nation, {"max_items": 3}).using(Frames(spark, folder)).options(no_limit_offset=True).query(project=["n_name"], limit=1).end()
+
+
+def _aliased(spark: SparkSession, folder: str) -> DataFrame:
+    return Query(Nation).using(Frames(spark, folder)).aliased("n").query(project=["n_name"], filter={"region.r_name": "ASIA"}).end()
+
+
 def _end_count(spark: SparkSession, folder: str) -> DataFrame:
     return ask(Customer, spark, folder, {"project": ["c_custkey"], "filter": {"c_acctbal": {"$gt": 0}}, "sort": ["c_custkey"], "skip": 10, "limit": 7}).end_count().with_total("total")
 
@@ -204,6 +228,8 @@ def _upserted(spark: SparkSession, folder: str) -> DataFrame:
 
 for key, run, sql in (
     ("c_end_count", _end_count, "SELECT c_custkey, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS total FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 7 OFFSET 10"),
+    ("l_no_limit_offset", _no_limit, "SELECT n_name FROM nation"),
+    ("s_aliased", _aliased, "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_name = 'ASIA')"),
     ("s_from_df", _from_df, "SELECT c_custkey FROM customer WHERE c_nationkey = 9 AND c_acctbal > 0"),
     ("s_by_keys", _by_keys, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 5, 9)"),
     ("s_json_rows", _json_rows, "SELECT r_name, min(n_name) AS first_nation FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),

@@ -124,6 +124,20 @@ class Model:
             return self.source(spark, folder)
         return spark.read.parquet(f"{folder}/{self.source or self.name}.parquet")
 
+    def extended(self, name: str, schema: T.StructType, source: Callable[[SparkSession, str], DataFrame] | str | None = None, **members) -> Model:
+        """A model that inherits from this one: its rows are those of its own table joined to this model's by primary key.
+
+        All members are inherited; members given here (relations, hybrids, json ...) are added or replace inherited ones.
+        """
+        own = Model(name, schema, self.primary_key, source, registry={})
+
+        def joined(spark: SparkSession, folder: str) -> DataFrame:
+            return self.read(spark, folder).join(own.read(spark, folder), list(self.primary_key))
+
+        both = T.StructType([*self.schema.fields, *[f for f in schema.fields if f.name not in self.columns]])
+        more = {k: {**getattr(self, k), **members.get(k, {})} for k in ("column_properties", "hybrids", "properties", "proxies", "relations")}
+        return Model(name, both, self.primary_key, joined, json=self.json | members.get("json", frozenset()), writable=self.writable | members.get("writable", frozenset()), registry=self.registry, **more)
+
     def query(self, source: object = None, settings: Mapping | None = None, **more):
         """A query on this model; source is a DataFrame of its rows or a Frames."""
         from .query import Query

@@ -160,3 +160,38 @@ def test_no_cartesian_product(f):
     plan = ask(f, User, filter={"articles.id": 30, "$or": [{"comments.id": 1}, {"id": 3}]}).end()._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "LeftSemi" in plan and "ExistenceJoin" in plan
+
+
+def test_inherited_model(spark, tmp_path):
+    from tessera import Model, schema
+
+    cars = Model("Car", schema("id INT, maker STRING"), ("id",), "car", hybrids={"ours": lambda s: s["maker"] == "us"}, registry={})
+    electric = cars.extended("ElectricCar", schema("id INT, battery INT"), "electric", hybrids={"big": lambda s: s["battery"] > 50})
+    spark.createDataFrame([(1, "us"), (2, "them"), (3, "us")], cars.schema).write.parquet(str(tmp_path / "car.parquet"))
+    spark.createDataFrame([(2, 40), (3, 60)], schema("id INT, battery INT")).write.parquet(str(tmp_path / "electric.parquet"))
+    q = lambda m, **qo: Query(m).with_session(spark, str(tmp_path)).query(**qo)
+    assert q(cars, count=1).scalar() == 3
+    assert q(electric, sort=["id"]).rows() == [{"id": 2, "maker": "them", "battery": 40}, {"id": 3, "maker": "us", "battery": 60}]
+    assert q(electric, filter={"ours": True, "big": True}, project=["id"]).rows() == [{"id": 3}]
+
+
+def test_configured_model(f):
+    Watcher.configure(default_projection=["name"], max_items=1)
+    try:
+        assert Watcher.query(f).query(sort=["id"]).rows() == [{"name": "Fred"}]
+    finally:
+        Watcher.configure()
+    assert len(Watcher.query(f).rows()) == 2
+
+
+def test_metadata(f):
+    q = ask(f, User, OPEN, project=["id"], join={"articles": {"project": ["id"], "filter": {"id": 10}}})
+    assert q.projection == {"id": 1, "articles": 1}
+    assert q.full_projection()["articles"] == 1 and q.full_projection()["name"] == 0 and q.full_projection()["comments"] == 0
+    assert q.projection_tree() == {"id": 1, "articles": {"id": 1}}
+    assert q.projection_tree(full=True)["articles"]["title"] == 0
+    final = q.final_query_object()
+    assert final["project"]["id"] == 1 and final["join"]["articles"]["filter"] == {"id": 10}
+    assert "articles" in q and "comments" not in q
+    assert ask(f, User, OPEN, aggregate={"n": {"$sum": 1}}).projection == {"n": 1}
+    assert (ask(f, User, count=0, limit=1).kind, ask(f, User, count=1).kind) == ("entities", "scalar")
