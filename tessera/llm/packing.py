@@ -12,6 +12,7 @@ each row is packed on its own; an empty table gives an empty result; more column
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
@@ -29,39 +30,90 @@ LENGTH, END = 2048, 0
 #: Pieces of a shard, about; islands of a shard; epochs; packings on an island; children an epoch.
 SHARD, ISLANDS, EPOCHS, PACKINGS, CHILDREN = 4096, 2, 2, 4, 8
 #: Words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already has a process for each core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+class Recent:
+    """A dictionary of bounded size that forgets what was not asked for lately: a young and an old generation."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def age(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class Encoder:
-    """Token ids of whole texts. The tokenizer drops white space and never joins words across it, so words repeat."""
+    """Token ids of whole texts. The tokenizer drops white space and never joins words across it, so words repeat.
+
+    Nor does it join a letter with a full stop or comma behind it, or tell capitals from small letters; words that differ
+    only so are encoded once. (Beyond Latin letters, lower case can depend on more than the letter; those stay as they are.)
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.words, self.stems = _tokenizer(path), Recent(REMEMBERED), Recent(REMEMBERED)
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.many(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        stop = word[-1:] if word[-1:] in ".," and word[-2:-1].isalpha() and word[-2] < "\u0130" else ""
+        stem = word[: len(word) - len(stop)]
+        return (stem.lower() if stem and max(stem) < "\u0130" and "<|" not in stem else stem), stop
+
+    def _learn(self, words: list[str]) -> None:
+        young, old, split, new = self.words.young, self.words.old, {}, {}
+        stems, old_stems = self.stems.young, self.stems.old
+        for w in words:
+            if w in young or w in split:
+                continue
+            if (known := old.get(w)) is not None:
+                young[w] = known
+                continue
+            stem, stop = split[w] = self._stem(w)
+            if stem not in stems:
+                if (known := old_stems.get(stem)) is not None:
+                    stems[stem] = known
+                else:
+                    new[stem] = None
+        unknown = list(new)
+        for i in range(0, len(unknown), 10_000):
+            part = unknown[i : i + 10_000]
+            stems.update(zip(part, self._encode(part), strict=True))
+        for w, (stem, stop) in split.items():
+            young[w] = stems[stem] + self.stops[stop] if stop else stems[stem]
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = _BLANK.split(text)
-        known = self.known
+        words = _BLANK.split(text) if not text.isprintable() else text.split(" ")
+        known = self.words.young
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, self.many(part, add_special_tokens=False), strict=True))
-        return b"".join([known[w] for w in words])
+            self._learn(words)
+        out = b"".join([known[w] for w in words])
+        self.words.age()
+        self.stems.age()
+        return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which keeps what it learned from task to task."""
+    return Encoder(path)
 
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
@@ -71,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """(id, piece, start, length, ids_crc32) for each piece of each document."""
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = Encoder(tokenizer_path), np.uint32(end).astype("<u4").tobytes()
+        encode, last = encoder(tokenizer_path), np.uint32(end).astype("<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(at, 256), []
