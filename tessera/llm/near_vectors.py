@@ -60,7 +60,7 @@ def collide(cosine: float, cut_at: float, width: float) -> float:
 
 def calibrate(n: int, cosine: float = COSINE, recall: float = RECALL, votes: int = VOTES) -> tuple[int, float, float]:
     """(directions, cut, half-width of windows); each direction has two ends, which are two independent orders."""
-    tail = min(0.02, 0.25 / sqrt(max(1, n)))
+    tail = min(0.02, 0.1 / sqrt(max(1, n)))
     cut_at, width = cut_of(tail), WIDTH * sqrt(2 - 2 * cosine)
     p = 2 * collide(cosine, cut_at, width)
     few = lambda m: sum(comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(votes))
@@ -137,7 +137,8 @@ def near_pairs(groups: DataFrame, n: int, d: int, cosine: float = COSINE, recall
         other = split.select("e", F.col("part").alias("part2"), F.col("p").alias("q"), F.col("g").alias("h"))
         met = split.join(other, "e").where(F.col("part") < F.col("part2")).select("p", "g", "q", "h")
         pairs = pairs.union(met.mapInArrow(across, "a long, b long"))
-    often = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes).select("a", "b")
+    # nearly all pairs collide once only, so combining them before the shuffle would be in vain
+    often = pairs.repartition("a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes).select("a", "b")
     left = groups.select(F.col("g").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
     right = groups.select(F.col("g").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
     both = often.join(left, "a").join(right, "b")
