@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .vectors import clean, dot
+from .vectors import BAD, clean, dot
 
 #: Vectors that lists, rotation and probing are fitted on at most; vectors in a block; dimensions read at a time.
 SAMPLE, BLOCK, STEP = 8_000, 1_024, 16
@@ -132,7 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     if not n_queries:
         return empty
 
-    few, few_g = lift(got[:2_000], biggest) @ rotation, got_g[:2_000]
+    few, few_g = lift(got, biggest) @ rotation, got_g
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
                 bound = np.partition(far, k, axis=1)[:, k] * (1 + 1e-6) if len(few) > k else np.full(len(x), np.inf)
                 m = lists.shape[1]
                 raw = [y.tobytes() for y in r.astype("<f4")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(lists.ravel().astype(np.int32)), pa.array([y for y in raw for _ in range(m)], pa.binary()), pa.array(np.repeat(bound, m))], names=["q", "list", "r", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(lists.ravel().astype(np.int32)), pa.array([y for y in raw for _ in range(m)], pa.binary()), pa.array(np.repeat(bound, m)), pa.array(np.tile(np.arange(m, dtype=np.int32), part.num_rows))], names=["q", "list", "r", "bound", "nth"])
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The nearest of the sample, those that the bounds come from, are candidates like any other."""
@@ -173,8 +173,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         dealt = df.join(F.broadcast(sized), "list").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")))
         return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(key, *cols)).alias("x"))
 
-    blocks = in_blocks(groups.select("g", "v").mapInArrow(indexed, "g long, list int, r binary"), "g", "r").select("list", F.col("x.g").alias("g"), F.col("x.r").alias("r"))
-    asking = in_blocks(query_groups.select("q", "v").mapInArrow(probing, "q long, list int, r binary, bound double"), "q", "r", "bound").select("list", F.col("x.q").alias("q"), F.col("x.r").alias("qr"), F.col("x.bound").alias("bound"))
+    blocks = cut(in_blocks(groups.select("g", "v").mapInArrow(indexed, "g long, list int, r binary"), "g", "r").select("list", F.col("x.g").alias("g"), F.col("x.r").alias("r")))
+    probed = cut(query_groups.select("q", "v").mapInArrow(probing, "q long, list int, r binary, bound double, nth int"))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = lambda raw: np.frombuffer(b"".join(raw), dtype="<f4").reshape(-1, d + 1)
@@ -191,8 +191,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
                 stay = at < k + 4
                 yield pa.RecordBatch.from_arrays([pa.array(q[qi[stay]], pa.int64()), pa.array(g[ri[stay]], pa.int64()), pa.array(far[stay].astype(float))], names=["q", "g", "far"])
 
-    near = blocks.join(asking, "list").mapInArrow(scanned, "q long, g long, far double")
-    near = near.union(query_groups.select("q", "v").mapInArrow(seeded, "q long, g long, far double")).groupBy("q", "g").agg(F.min("far").alias("far"))
+    def scan_lists(asking: DataFrame) -> DataFrame:
+        asking = in_blocks(asking.select("q", "list", "r", "bound"), "q", "r", "bound").select("list", F.col("x.q").alias("q"), F.col("x.r").alias("qr"), F.col("x.bound").alias("bound"))
+        return blocks.join(asking, "list").mapInArrow(scanned, "q long, g long, far double")
+
+    # The nearest lists first; what they hold tightens the bounds that all other lists are scanned with.
+    ahead = max(1, probes // 8)
+    first = scan_lists(probed.where(F.col("nth") < ahead)).union(query_groups.select("q", "v").mapInArrow(seeded, "q long, g long, far double"))
+    first = cut(first.groupBy("q", "g").agg(F.min("far").alias("far")))
+    tight = first.groupBy("q").agg(F.sort_array(F.collect_list("far")).alias("x")).select("q", F.coalesce(F.get("x", F.lit(k)), F.lit(BAD)).alias("bound"))
+    rest = scan_lists(probed.where(F.col("nth") >= ahead).drop("bound").join(tight, "q"))
+    near = first.union(rest).groupBy("q", "g").agg(F.min("far").alias("far"))
     # single precision orders candidates up to its error: a few more than needed are scored in double precision
     nth = F.row_number().over(Window.partitionBy("q").orderBy("far", "g"))
     best = near.withColumn("nth", nth).where(F.col("nth") <= k + 12).select("q", "g")
