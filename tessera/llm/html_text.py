@@ -21,6 +21,8 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -59,6 +61,9 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'<
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 
+#: Levels of elements that paths and wrappers tell apart.
+DEEP = 64
+
 #: A text block: path of labels, text, length of the part of it inside links.
 Block = tuple[tuple[str, ...], str, int]
 
@@ -85,28 +90,46 @@ def furniture(name: str) -> bool:
 
 def blocks(html: str) -> tuple[list[Block], set[tuple[tuple[str, ...], str]]]:
     """The page's text blocks in order, and its (path, label) pairs, which tell its structure whatever repeats."""
-    stack: list[str] = []
     tags: list[str] = []
+    names: list[str] = []  # of the open elements that make blocks
+    below: list[str] = []  # for each of them, the first furniture at or above it that is too deep to have a level
+    open_tags: Counter = Counter()
     out: list[Block] = []
     seen: set = set()
     text: list[str] = []
-    linked, links, at, path = 0, 0, 0, ()
+    linked, links = 0, 0
+
+    def path() -> tuple[str, ...]:
+        """Labels from the root; below DEEP levels, only the first piece of furniture or else the innermost label counts."""
+        if len(names) <= DEEP:
+            return tuple(names)
+        return (*names[: DEEP - 1], below[-1] or names[-1])
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
-                out.append((path, joined, linked))
+                out.append((path(), joined, linked))
             text.clear()
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal path, links
-        flush() if any(t not in INLINE for t in tags[k:]) else None
-        links -= tags[k:].count("a")
-        del stack[k:], tags[k:]
-        path = tuple(x for x, t in zip(stack, tags, strict=True) if t not in INLINE)
+        nonlocal links
+        ended = tags[k:]
+        made = sum(t not in INLINE for t in ended)
+        if made:
+            flush()
+            del names[len(names) - made :], below[len(below) - made :]
+        links -= ended.count("a")
+        open_tags.subtract(ended)
+        del tags[k:]
+
+    def last(tag: str) -> int:
+        k = len(tags) - 1
+        while tags[k] != tag:
+            k -= 1
+        return k
 
     pos, n = 0, len(html)
     while pos < n:
@@ -124,8 +147,9 @@ def blocks(html: str) -> tuple[list[Block], set[tuple[tuple[str, ...], str]]]:
                 text.append("<")
             continue
         if m[1]:
-            if tag in tags:
-                k = len(tags) - 1 - tags[::-1].index(tag)
+            tag = f"{tag}!" if open_tags[f"{tag}!"] > open_tags[tag] else tag
+            if open_tags[tag] > 0:
+                k = last(tag)
                 if tag not in INLINE or not any(t not in INLINE for t in tags[k:]):
                     close(k)
             continue
@@ -141,13 +165,14 @@ def blocks(html: str) -> tuple[list[Block], set[tuple[tuple[str, ...], str]]]:
             pos = stop.end() if stop else n
             continue
         if tag not in INLINE:
-            for k in range(len(tags) - 1, -1, -1):
-                if tags[k] == "p":
-                    close(k)
-                    break
-                if tags[k] in P_BORDERS:
-                    break
-            if tag in ENDS:
+            if open_tags["p"] > 0:
+                for k in range(len(tags) - 1, -1, -1):
+                    if tags[k] == "p":
+                        close(k)
+                        break
+                    if tags[k] in P_BORDERS:
+                        break
+            if tag in ENDS and any(open_tags[x] > 0 for x in ENDS[tag][0]):
                 ended, borders = ENDS[tag]
                 cut_at = None
                 for k in range(len(tags) - 1, -1, -1):
@@ -158,18 +183,20 @@ def blocks(html: str) -> tuple[list[Block], set[tuple[tuple[str, ...], str]]]:
                 if cut_at is not None:
                     close(cut_at)
             flush()
-        elif tag == "a" and "a" in tags:
-            pass
         name = label(tag, m[3])
-        if tag not in INLINE:
-            seen.add((path, name))
+        block = tag not in INLINE
+        if block:
+            seen.add((path(), name))
         elif furniture(name):
             # an inline element that is furniture bounds a block like any other
             flush()
-        stack.append(name)
-        tags.append(tag if not (tag in INLINE and furniture(name)) else f"{tag}!")
+            tag, block = f"{tag}!", True
+        if block:
+            names.append(name)
+            below.append((below[-1] if below else "") or (name if len(names) >= DEEP and furniture(name) else ""))
+        tags.append(tag)
+        open_tags[tag] += 1
         links += tag == "a"
-        path = tuple(x for x, t in zip(stack, tags, strict=True) if t not in INLINE)
     flush()
     return out, seen
 
@@ -199,54 +226,88 @@ def page_tree(found: list[Block], seen: set) -> Node:
     return folded(root)
 
 
-def shape(node: Node) -> str:
-    return node[0]
-
-
 def folded(node: Node) -> Node:
     """Neighbouring repeats of one label or of a sequence of up to four become one repeated node (or group, "()")."""
     kids = [folded(k) for k in node[3]]
     for size in (1, 2, 3, 4):
+        out: list[Node] = []
         k = 0
-        while k + 2 * size <= len(kids):
-            one, two = kids[k : k + size], kids[k + size : k + 2 * size]
-            if [x[0] for x in one] == [x[0] for x in two]:
-                both = [merged(a, b) for a, b in zip(one, two, strict=True)]
-                if size == 1:
-                    kids[k : k + 2] = [[both[0][0], min(one[0][1], two[0][1]), True, both[0][3]]]
-                else:
-                    kids[k : k + 2 * size] = [["()", 1, True, both]]
-                    follow = k + 1
-                    while kids[follow : follow + size] and [x[0] for x in kids[follow : follow + size]] == [x[0] for x in both]:
-                        both = [merged(a, b) for a, b in zip(both, kids[follow : follow + size], strict=True)]
-                        kids[k][3] = both
-                        del kids[follow : follow + size]
+        while k < len(kids):
+            both, names, follow = kids[k : k + size], [x[0] for x in kids[k : k + size]], k + size
+            while len(both) == size and [x[0] for x in kids[follow : follow + size]] == names:
+                both = [merged(a, b) for a, b in zip(both, kids[follow : follow + size], strict=True)]
+                follow += size
+            if follow > k + size:
+                out.append([both[0][0], both[0][1], True, both[0][3]] if size == 1 else ["()", 1, True, both])
+                k = follow
             else:
+                out.append(kids[k])
                 k += 1
+        kids = out
     return [node[0], node[1], node[2], kids]
 
 
+#: Product of lengths up to which two sequences of labels are aligned as well as possible; longer ones, label by label in order.
+ALIGNED = 250_000
+
+
+def alignment(x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
+    """Pairs of positions in the order of both; a label without a partner stands alone."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    a, b = x[head : len(x) - tail], y[head : len(y) - tail]
+    pairs: list[tuple[int | None, int | None]] = []
+    if len(a) * len(b) <= ALIGNED:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        where: dict[str, list[int]] = {}
+        for j, label_ in enumerate(b):
+            where.setdefault(label_, []).append(j)
+        j = 0
+        for i, label_ in enumerate(a):
+            spots = where.get(label_, [])
+            k = bisect_left(spots, j)
+            if k < len(spots):
+                pairs.append((i, spots[k]))
+                j = spots[k] + 1
+    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
+    i = j = 0
+    for p, q in [*pairs, (len(a), len(b))]:
+        out += [(head + k, None) for k in range(i, p)] + [(None, head + k) for k in range(j, q)]
+        if p < len(a):
+            out.append((head + p, head + q))
+        i, j = p + 1, q + 1
+    return out + [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
+
+
 def merged(a: Node, b: Node) -> Node:
     """The alignment of two nodes with one label: matches are aligned below, mismatches become optional."""
     if a[3] == b[3]:
         return [a[0], min(a[1], b[1]), a[2] or b[2], a[3]]
     x, y = a[3], b[3]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
     kids: list[Node] = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
+    for i, j in alignment([k[0] for k in x], [k[0] for k in y]):
+        if i is not None and j is not None:
             kids.append(merged(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j >= len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            kids.append([x[i][0], 0, x[i][2], x[i][3]])
-            i += 1
         else:
-            kids.append([y[j][0], 0, y[j][2], y[j][3]])
-            j += 1
+            name, _, many, below = x[i] if j is None else y[j]
+            kids.append([name, 0, many, below])
     tight: list[Node] = []
     for k in kids:
         if tight and tight[-1][0] == k[0] and k[0] != "()":

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_personal_data": personal_data.op10_personal_data,
 }
 
-ORACLES = {"op2_line_dedup": line_dedup.OP2_SQL, "op8_near_embeddings": near_vectors.OP8_SQL}
+ORACLES = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
+    "op6_chat_format": chat.OP6_SQL,
+    "op8_near_embeddings": near_vectors.OP8_SQL,
+}

@@ -45,6 +45,14 @@ def test_stages(spark, tmp_path):
     assert set(before) >= judged
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
+def test_run(spark):
+    out = pipeline.run(spark, FOLDER)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    rows = out.groupBy("sequence_id").sum("length").collect()
+    assert rows and max(r[1] for r in rows) <= 2048
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in pipeline.STAGES:
