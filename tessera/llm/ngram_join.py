@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, dense_index, small, table
+from .common import components, cut, dense_index, remove, small, table, tidy, written
 
 WORDS, PERCENT = 3, 90
 #: Hash buckets of the token counts (a table of fixed size); the longest l; cost of verifying one candidate, in postings.
 BUCKETS, LONGEST, VERIFY = 1 << 18, 8, 8
 #: Postings in a chunk; documents in a block; words whose hashes a task remembers.
-CHUNK, BLOCK, REMEMBERED = 1_024, 32, 300_000
+CHUNK, BLOCK, REMEMBERED = 1_024, 32, 150_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
@@ -101,6 +101,7 @@ def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), _signed(np.array(s, dtype=np.uint64)), pa.array(n, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = counts.reshape(slices, -1)
         yield pa.RecordBatch.from_arrays([pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary())], names=names)
+        tidy()
 
     def added(key: tuple, part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), dtype="<i8") for x in part.column("counts"))
@@ -136,17 +137,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 n.append(len(tokens))
                 at.append(tokens[first].view(np.int64))
             yield pa.RecordBatch.from_arrays([_signed(np.array(s, dtype=np.uint64)), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64()))], names=["s", "n", "tokens"])
+        tidy()
 
     sets = texts.select("text").mapInArrow(prefixes, "s long, n long, tokens array<long>").dropDuplicates(["s"])
     over = F.col("pos") - (F.col("n") - F.ceil(F.col("n") * percent / 100)) + 1
-    posted = cut(sets.select("s", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "s", F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), over).cast("int").alias("level")))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("s").alias("leader")).where("df > 1")
+    posted, place = written(sets.select("s", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "s", F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), over).cast("int").alias("level")))
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = cut(posted.join(lists, "token"))
+    remove(spark, place)
 
     # The cost of l: postings read, and a candidate for every l of them at most.
     sums = [F.sum(F.when(F.col("level") <= k, F.col("df"))).alias(f"c{k}") for k in range(1, longest + 1)]
     cost = F.array(*[F.struct((F.coalesce(F.col(f"c{k}"), F.lit(0)) * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, longest + 1)])
-    picked = shared.groupBy("s").agg(F.first("n").alias("n"), F.min("leader").alias("bundle"), *sums)
+    picked = shared.groupBy("s").agg(F.first("n").alias("n"), F.min("token").alias("bundle"), *sums)
     most = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100)).cast("int")
     picked = picked.select("s", F.least(F.array_min(cost)["l"], most).cast("int").alias("l"), "bundle")
     # Documents that share their rarest tokens get neighbouring numbers, so that candidates are in few blocks.
@@ -204,6 +207,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         for batch in batches:
             got = [shingle(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([_signed(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in got], dtype=np.uint64)), pa.array([x.tobytes() for x in got], pa.binary())], names=["s", "t"])
+        tidy()
 
     read = texts.join(small(one.select("id"), bearers // 4), "id", "left_semi").select("text").mapInArrow(whole_sets, "s long, t binary")
     stored = cut(read.join(one.select("s", "idx"), "s").dropDuplicates(["s"]).groupBy(F.floor(F.col("idx") / block).alias("b")).agg(F.collect_list(F.struct("idx", "t")).alias("x")))
@@ -273,3 +277,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP3_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') END AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {WORDS} + 2), lambda i: array_to_string(ws[i:i + {WORDS} - 1], ' ')) END) AS t FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""

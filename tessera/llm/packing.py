@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy
 
 LENGTH, END = 2048, 0
 #: Pieces of a shard, about; islands of a shard; epochs; packings on an island; children an epoch.
 SHARD, ISLANDS, EPOCHS, PACKINGS, CHILDREN = 4096, 2, 2, 4, 8
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words and stems whose ids a worker remembers, in each of two generations. A word is soon put together from its stem.
+WORDS, STEMS = 80_000, 300_000
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -61,7 +61,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.words, self.stems = _tokenizer(path), Recent(REMEMBERED), Recent(REMEMBERED)
+        self.tokenizer, self.words, self.stems = _tokenizer(path), Recent(WORDS), Recent(STEMS)
         self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
 
@@ -134,6 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                         out.append((doc, k, b // 4, len(part) // 4, zlib.crc32(part)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokenized, PIECES)
 
