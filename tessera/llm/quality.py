@@ -13,27 +13,31 @@ an empty table gives an empty result; more columns pass through.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, log
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, tidy
 
 GOOD, BAD, NONE = 1, 0, 2
 #: Documents that the scorer is fitted on, at most about so many; buckets of its hashed features; passes over the sample.
-SAMPLE, BUCKETS, PASSES = 4_000, 1 << 14, 300
+SAMPLE, BUCKETS, PASSES = 4_000, 1 << 14, 200
+#: Weight of the prior in a document's score, in words: little text is little evidence.
+PRIOR_WORDS = 3
 #: Score below which a document is rejected.
 THRESHOLD = 0.5
 #: Words whose features a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
-_SYMBOL = str.maketrans("", "", "#$%&*|~^=<>{}[]\\_@+/")
+_SYMBOLS, _BLANKS, _UPPER = b"#$%&*|~^=<>{}[]\\_@+/", bytes([*range(9, 14), 32]), bytes(range(65, 91))
+_NO_LETTERS = bytes(x for x in range(128) if not chr(x).isalpha())
 
 
 def _bad(when: bool) -> int:
@@ -47,14 +51,16 @@ def votes(text: str) -> tuple[int, ...]:
     n = len(words)
     if not n:
         return (NONE,) * len(LABELLERS)
-    chars = sum(map(len, words))
-    letters = sum(map(str.isalpha, text))
-    upper = sum(map(str.isupper, text)) / max(1, letters)
-    twins = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    raw = text.encode()
+    count = lambda some: len(raw) - len(raw.translate(None, some))
+    chars = len(text) - count(_BLANKS)
+    letters = len(text) - count(_NO_LETTERS)  # beyond ASCII, all count as letters
+    upper = count(_UPPER) / max(1, letters)
+    twins = sum(map(eq, words, words[1:])) / n
     kinds = len(set(words))
-    signs = (len(text) - len(text.translate(_SYMBOL))) / len(text)
+    signs = count(_SYMBOLS) / len(text)
     odd = 1 - letters / max(1, chars)
-    stops = sum(w[-1] in ".,;:?" for w in words) / n
+    stops = count(b".,;:?") / n
     several = n >= 5
     return (
         _bad(signs > 0.08),
@@ -65,7 +71,7 @@ def votes(text: str) -> tuple[int, ...]:
         BAD if kinds < 0.5 * n**0.75 else GOOD if kinds >= n**0.75 else NONE,
         _bad(odd > 0.25),
         _bad(chars / n > 15),
-        GOOD if 0.03 <= stops <= 0.4 and upper < 0.2 and signs < 0.02 and twins < 0.05 else NONE,
+        GOOD if (n < 12 or 0.03 <= stops <= 0.4) and upper < 0.35 and signs < 0.02 and twins < 0.05 else NONE,
     )
 
 
@@ -107,13 +113,32 @@ def fit_labels(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> Lab
     return model
 
 
-_RUN = re.compile(r"(.)\1+")
+_CLASSES = str.maketrans({**{chr(x): "a" for x in range(97, 123)}, **{chr(x): "A" for x in range(65, 91)}, **{chr(x): "9" for x in range(48, 58)}})
 
 
 def features(word: str, buckets: int) -> tuple[int, ...]:
-    """Buckets of a word: itself, its shape (letters, capitals, digits, signs, runs shortened) and its last characters."""
-    shape = _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word))
-    return tuple(zlib.crc32(x.encode()) % buckets for x in ("w" + word.lower(), "s" + shape[:12], "e" + word[-2:]))
+    """Buckets of a word: itself, its shape (kinds of its first and last characters) and its last characters."""
+    shape = (word[:1] + word[-3:]).translate(_CLASSES)
+    return zlib.crc32(("w" + word).encode()) % buckets, zlib.crc32(("s" + shape).encode()) % buckets, zlib.crc32(("e" + word[-2:]).encode()) % buckets
+
+
+class Scores(dict):
+    """Summed weights of words, filled as they are asked for; the weights of shapes and ends are few and kept."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights, self.ends, self.buckets = weights.tolist(), {}, len(weights)
+
+    def __missing__(self, word: str) -> float:
+        end = word[:1] + word[-3:]
+        rest = self.ends.get(end)
+        if rest is None:
+            _, s, e = features(word, self.buckets)
+            rest = self.ends[end] = self.weights[s] + self.weights[e]
+        out = rest + self.weights[zlib.crc32(("w" + word).encode()) % self.buckets]
+        if len(self) < REMEMBERED:
+            self[word] = out
+        return out
 
 
 TWIN = "t"
@@ -129,13 +154,13 @@ def _sparse(text: str, buckets: int, known: dict) -> tuple[np.ndarray, np.ndarra
         if f is None:
             f = known[w] = features(w, buckets)
         flat += f
-    flat += [zlib.crc32(TWIN.encode()) % buckets] * sum(a == b for a, b in zip(words, words[1:], strict=False))
+    flat += [zlib.crc32(TWIN.encode()) % buckets] * sum(map(eq, words, words[1:]))
     at, n = np.unique(np.array(flat, dtype=np.int64), return_counts=True)
     return at.astype("<i4"), (n / max(1, len(words))).astype("<f4")
 
 
 def fit_scorer(rows: list[tuple[bytes, bytes, float]], buckets: int, passes: int = PASSES, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression to soft labels; each feature's share of the words is scaled by its typical size (Adam)."""
+    """Logistic regression to soft labels (Adam). Both classes weigh alike; the decay keeps words from being learnt by heart."""
     weights, bias = np.zeros(buckets), 0.0
     if not rows:
         return weights, bias
@@ -143,14 +168,13 @@ def fit_scorer(rows: list[tuple[bytes, bytes, float]], buckets: int, passes: int
     index, row = np.concatenate(at), np.repeat(np.arange(len(rows)), [len(a) for a in at])
     value = np.concatenate([np.frombuffer(v, "<f4") for _, v, _ in rows]).astype(float)
     soft = np.array([p for _, _, p in rows])
-    # classes weigh alike in the fit; the bias of the prior comes back below
     share = np.clip(soft.mean(), 0.02, 0.98)
     importance = soft * 0.5 / share + (1 - soft) * 0.5 / (1 - share)
     m, v = np.zeros(buckets + 1), np.zeros(buckets + 1)
     for t in range(1, passes + 1):
         score = np.bincount(row, value * weights[index], len(rows)) + bias
         off = (1 / (1 + np.exp(-np.clip(score, -50, 50))) - soft) * importance / len(rows)
-        grad = np.append(np.bincount(index, value * off[row], buckets) + decay * weights / len(rows), off.sum())
+        grad = np.append(np.bincount(index, value * off[row], buckets) + decay * weights, off.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         weights, bias = weights - step[:-1], bias - step[-1]
@@ -162,8 +186,8 @@ def _batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]
         yield batch.slice(at, rows)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS, score_col: str = "score", weak_col: str = "weak_score", bad_col: str = "n_bad_votes") -> DataFrame:
-    """docs with the scorer's probability of good, the label model's, and how many labellers voted bad."""
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS, score_col: str = "score") -> DataFrame:
+    """docs with the scorer's probability of good."""
     ship(docs.sparkSession)
     n_votes = len(LABELLERS)
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -177,6 +201,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
                     code = code * 3 + v
                 seen[code] = seen.get(code, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
+        tidy()
 
     # at most 3^9 rows
     counted = texts.mapInArrow(joint, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
@@ -185,18 +210,19 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     model = fit_labels(pattern, count) if len(codes) else LabelModel(0.8, np.full((n_votes, 2, 3), 1 / 3))
     believed = dict(zip(codes.tolist(), model.posterior(pattern).tolist(), strict=True)) if len(codes) else {}
 
-    def weak(text: str) -> tuple[float, int]:
-        code, bad = 0, 0
+    def weak(text: str) -> float:
+        code = 0
         for v in votes(text):
-            code, bad = code * 3 + v, bad + (v == BAD)
-        return believed.get(code, model.prior), bad
+            code = code * 3 + v
+        return believed.get(code, model.prior)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for whole in batches:
             for batch in _batches(whole):
-                rows = [(*_sparse(t, buckets, known), weak(t)[0]) for t in (x.as_py() or "" for x in batch.column(0))]
+                rows = [(*_sparse(t, buckets, known), weak(t)) for t in (x.as_py() or "" for x in batch.column(0))]
                 yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v, _ in rows], pa.binary()), pa.array([p for _, _, p in rows], pa.float64())], names=["a", "v", "p"])
+        tidy()
 
     total = int(count.sum())
     take = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, total)))
@@ -204,34 +230,26 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     weights, bias = fit_scorer([tuple(map(bytes, r[:2])) + (r[2],) for r in fitted], buckets)
 
     names = docs.columns
-    score_of = weights  # buckets numbers: the closure's size doesn't depend on the corpus
-
+    # the closure holds BUCKETS weights: its size doesn't depend on the corpus
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        twin = float(score_of[zlib.crc32(TWIN.encode()) % buckets])
+        known = Scores(weights)
+        twin = known.weights[zlib.crc32(TWIN.encode()) % buckets]
+        prior = PRIOR_WORDS * log(model.prior / (1 - model.prior))
         for whole in batches:
             for batch in _batches(whole):
                 out = []
                 for x in batch.column(batch.num_columns - 1):
-                    text = x.as_py() or ""
-                    words, s = text.split(), 0.0
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    for w in words:
-                        f = known.get(w)
-                        if f is None:
-                            f = known[w] = float(sum(score_of[i] for i in features(w, buckets)))
-                        s += f
-                    s += twin * sum(a == b for a, b in zip(words, words[1:], strict=False))
-                    p, bad = weak(text)
-                    out.append((1 / (1 + np.exp(-np.clip(bias + s / max(1, len(words)), -50, 50))) if words else model.prior, p, bad))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([float(a) for a, _, _ in out], pa.float64()), pa.array([b for _, b, _ in out], pa.float64()), pa.array([c for _, _, c in out], pa.int32())], names=[*names, score_col, weak_col, bad_col])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"{score_col} double, {weak_col} double, {bad_col} int"])
+                    words = (x.as_py() or "").split()
+                    s = len(words) * bias + sum(map(known.__getitem__, words)) + twin * sum(map(eq, words, words[1:]))
+                    out.append(1 / (1 + exp(-min(50.0, max(-50.0, (prior + s) / (PRIOR_WORDS + len(words)))))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*names, score_col])
+        tidy()
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"{score_col} double"])
     return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(scored, schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = classify(docs)
-    return got.select("doc_id", "score", "weak_score", F.col("n_bad_votes").cast("long").alias("n_bad_votes"), (F.col("score") >= THRESHOLD).alias("keep"))
+    return got.select("doc_id", "score", (F.col("score") >= THRESHOLD).alias("keep"))
