@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint_folder
+from tessera.llm.common import checkpoint_folder, remove
 from tessera.llm.line_dedup import drop_boilerplate
 from tessera.llm.mixing import mixed
 from tessera.llm.ngram_join import one_of_each
@@ -21,7 +21,7 @@ from tessera.llm.quality import THRESHOLD, classify
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = classify(docs, score_col="__score", weak_col="__weak", bad_col="__bad")
+    judged = classify(docs, score_col="__score")
     return judged.where(F.col("__score") >= THRESHOLD).select(*docs.columns)
 
 
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    done = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done:
+            remove(spark, done)
+        done = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
