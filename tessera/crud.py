@@ -184,7 +184,8 @@ class CrudView:
     def _get_query_object(self) -> Mapping | None:
         return None
 
-    def _mongoquery_hook(self, query: Query) -> Query:
+    def _query_hook(self, query: Query) -> Query:
+        """May change the query before it is bound."""
         return query
 
     def _save_hook(self, new: dict, previous: dict | None) -> None:
@@ -201,7 +202,7 @@ class CrudView:
         q.root = rows
         if self.ensure_loaded and q.kind == ENTITIES:
             q.ensure_loaded(*self.ensure_loaded)
-        return self._mongoquery_hook(q)
+        return self._query_hook(q)
 
     def _one(self, key: Mapping) -> DataFrame:
         rows = self._rows()
