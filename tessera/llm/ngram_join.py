@@ -191,14 +191,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 yield pa.RecordBatch.from_arrays([pa.array(r[row[start]] // block), pa.array(other[start] // block), pa.array(r[row[start]]), pa.ListArray.from_arrays(offsets, pa.array(other))], names=names)
 
     gathered = found.groupBy("r").agg(F.first("l").alias("l"), F.collect_list("other").alias("other")).mapInArrow(counted, "rb long, ob long, r long, o array<long>")
-    wanted = cut(gathered.groupBy("rb", "ob").agg(F.collect_list(F.struct("r", "o")).alias("w")))
+    # a checkpointed row keeps its number
+    wanted = cut(gathered.groupBy("rb", "ob").agg(F.collect_list(F.struct("r", "o")).alias("w"))).select(F.monotonically_increasing_id().alias("bp"), "w")
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.r_[w.values.field("r").to_numpy(), w.values.field("o").flatten().to_numpy()] for w in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)) if ids else np.zeros(0, np.int64), pa.int64())], names=["idx"])
+            ids = [np.unique(np.r_[w.values.field("r").to_numpy(), w.values.field("o").flatten().to_numpy()]) for w in batch.column(1)]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in ids])), pa.array(np.concatenate(ids), pa.int64())], names=["bp", "idx"])
 
-    used = numbered.join(wanted.select("w").mapInArrow(touched, "idx long").distinct(), "idx").select("s", "idx")
+    needs = cut(wanted.mapInArrow(touched, "bp long, idx long"))
+    used = numbered.join(needs.select("idx").distinct(), "idx").select("s", "idx")
     one = cut(member.groupBy("s").agg(F.min("id").alias("id")).join(used, "s"))
     bearers = one.count()
 
@@ -210,14 +213,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         tidy()
 
     read = texts.join(small(one.select("id"), bearers // 4), "id", "left_semi").select("text").mapInArrow(whole_sets, "s long, t binary")
-    stored = cut(read.join(one.select("s", "idx"), "s").dropDuplicates(["s"]).groupBy(F.floor(F.col("idx") / block).alias("b")).agg(F.collect_list(F.struct("idx", "t")).alias("x")))
-    left, right = stored.select(F.col("b").alias("rb"), F.col("x").alias("rx")), stored.select(F.col("b").alias("ob"), F.col("x").alias("ox"))
+    # only the sets that a pair of blocks needs travel to it
+    stored = read.join(small(one.select("s", "idx"), bearers), "s").select("idx", "t")
+    shipped = needs.join(stored, "idx").groupBy("bp").agg(F.collect_list(F.struct("idx", "t")).alias("x"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                w, rx, ox = (batch.column(k)[i].as_py() for k in range(3))
-                got = {x["idx"]: np.frombuffer(x["t"], dtype=np.uint64) for x in [*rx, *ox]}
+                w, sets_ = (batch.column(k)[i].as_py() for k in range(2))
+                got = {x["idx"]: np.frombuffer(x["t"], dtype=np.uint64) for x in sets_}
                 root: dict[int, int] = {}
 
                 def top(x: int, root: dict = root) -> int:
@@ -235,7 +239,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                             links.append((x["r"], o))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    checked = wanted.join(left, "rb").join(right, "ob").select("w", "rx", "ox").mapInArrow(verified, "a long, b long")
+    checked = wanted.join(shipped, "bp").select("w", "x").mapInArrow(verified, "a long, b long")
     joined = components(checked).join(numbered.select("s", F.col("idx").alias("node")), "node").select("s", "component")
     labelled = member.join(joined, "s", "left").withColumn("c", F.when(F.col("n") == 0, F.struct(F.lit(2).alias("k"), F.coalesce("id", F.lit(0)).alias("v"))).when(F.col("component").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("component").alias("v"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("s").alias("v"))))
     names = labelled.groupBy("c").agg(F.min("id").alias("component_id"))
