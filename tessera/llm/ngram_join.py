@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from .common import components, cut, dense_index, remove, small, table, tidy, written
 
 WORDS, PERCENT = 3, 90
-#: Hash buckets of the token counts (a table of fixed size); the longest l; cost of verifying one candidate, in postings.
-BUCKETS, LONGEST, VERIFY = 1 << 18, 8, 8
+#: Hash buckets of the token counts (a table of fixed size); the longest l; cost of verifying one candidate, in postings for
+#: each token of the probe: two sets of 8 bytes a token travel, where a posting has about 40 bytes.
+BUCKETS, LONGEST, VERIFY = 1 << 18, 8, 0.4
 #: Postings in a chunk; documents in a block; words whose hashes a task remembers.
-CHUNK, BLOCK, REMEMBERED = 1_024, 32, 150_000
+CHUNK, BLOCK, REMEMBERED = 1_024, 128, 150_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
@@ -148,7 +149,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     # The cost of l: postings read, and a candidate for every l of them at most.
     sums = [F.sum(F.when(F.col("level") <= k, F.col("df"))).alias(f"c{k}") for k in range(1, longest + 1)]
-    cost = F.array(*[F.struct((F.coalesce(F.col(f"c{k}"), F.lit(0)) * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, longest + 1)])
+    cost = F.array(*[F.struct((F.coalesce(F.col(f"c{k}"), F.lit(0)) * (1 + VERIFY / k * F.col("n"))).alias("cost"), F.lit(k).alias("l")) for k in range(1, longest + 1)])
     picked = shared.groupBy("s").agg(F.first("n").alias("n"), F.min("token").alias("bundle"), *sums)
     most = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100)).cast("int")
     picked = picked.select("s", F.least(F.array_min(cost)["l"], most).cast("int").alias("l"), "bundle")
@@ -215,7 +216,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     read = texts.join(small(one.select("id"), bearers // 4), "id", "left_semi").select("text").mapInArrow(whole_sets, "s long, t binary")
     # only the sets that a pair of blocks needs travel to it
     stored = read.join(small(one.select("s", "idx"), bearers), "s").select("idx", "t")
-    shipped = needs.join(stored, "idx").groupBy("bp").agg(F.collect_list(F.struct("idx", "t")).alias("x"))
+    shipped = stored.join(small(needs, needs.count() // 4), "idx").groupBy("bp").agg(F.collect_list(F.struct("idx", "t")).alias("x"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
