@@ -30,7 +30,7 @@ LENGTH, END = 2048, 0
 #: Pieces of a shard, about; islands of a shard; epochs; packings on an island; children an epoch.
 SHARD, ISLANDS, EPOCHS, PACKINGS, CHILDREN = 4096, 2, 2, 4, 8
 #: Words and stems whose ids a worker remembers, in each of two generations. A word is soon put together from its stem.
-WORDS, STEMS = 80_000, 300_000
+WORDS, STEMS = 400_000, 400_000
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
