@@ -4,9 +4,11 @@ A page's token stream becomes a tree of labels (tag with class, id or role) and
 one after another: labels that match are aligned further below, labels that don't become optional, neighbours with the
 same label (or the same sequence of labels) become one repeated group, and text that differs between pages is a slot
 while text that never does belongs to the template. The result, a host's wrapper, is an expression of sequences, optional
-and repeated groups only. The wrapper's content region is chosen once per host: marked articles or, where a host marks
-none, the deepest group that still holds most of the slots' unlinked text. Each page is then read along its wrapper; a page on
-which no content region of the wrapper occurs is its own host.
+and repeated groups only. The wrapper's content region is chosen once per host: marked articles (or else main elements) if
+they hold most of the slots' unlinked text on the pages that have them, and otherwise the deepest group that still holds most
+of it. Each page is then read along its wrapper, without the template's text; a page on which no content region of the wrapper
+occurs is its own host. Text is the template's if all that stands on its path is the same on every page with that path, and
+at least five pages that differ elsewhere have it; text of a repeated group whose other members vary is a slot.
 
 Wrappers merge in any order, so tasks infer partial ones, which are merged in two levels; a hot host is never in one task
 with all of its pages. All pages take part.
@@ -318,8 +320,19 @@ def merged(a: Node, b: Node) -> Node:
     return [a[0], min(a[1], b[1]), a[2] or b[2], tight]
 
 
+#: Pages, different ones, on which a text has to be the same to belong to the template.
+ALIKE = 5
+
+
+def marks(names: tuple[str, ...] | list[str]) -> tuple[int | None, int | None]:
+    """Positions of the first article and of the first main element in a path."""
+    article = next((k for k, x in enumerate(names) if x.split(" ")[0] == "article"), None)
+    return article, next((k for k, x in enumerate(names) if x.split(" ")[0] == "main" or "role=main" in x or "role=article" in x), None)
+
+
 class Wrapper:
-    """A host's expression and, for each path of a slot, [pages, characters, linked characters, hash or None if it varies]."""
+    """A host's expression and, for each path of a slot, [the least hashes of its different pages (at most ALIKE), characters,
+    linked characters, hash or None if it varies, unlinked characters on pages with an article, those on pages with a main]."""
 
     def __init__(self, tree: Node | None = None, slots: dict | None = None):
         self.tree, self.slots, self.shapes = tree, slots or {}, set()
@@ -333,14 +346,23 @@ class Wrapper:
             self.tree = merged(self.tree, tree) if self.tree else tree
         page: dict[tuple[str, ...], list] = {}
         for path, text, linked in found:
-            slot = page.setdefault(path, [1, 0, 0, 0])
-            slot[1:] = slot[1] + len(text), slot[2] + linked, zlib.crc32(text.encode(), slot[3])
+            slot = page.setdefault(path, [[], 0, 0, 0, 0, 0])
+            slot[1:4] = slot[1] + len(text), slot[2] + linked, zlib.crc32(text.encode(), slot[3])
+        # what furniture says does not make another page
+        own = [path for path in page if not any(map(furniture, path))]
+        page_hash = zlib.crc32(json.dumps([[path, page[path][3]] for path in own]).encode())
+        marked = [any(k is not None for k in which) for which in zip(*map(marks, own), strict=True)] or [False, False]
         for path, slot in page.items():
+            slot[0] = [page_hash]
+            slot[4:] = (max(0, slot[1] - 2 * slot[2]) if m else 0 for m in marked)
             self._slot("\t".join(path), slot)
 
     def _slot(self, path: str, new: list) -> None:
         old = self.slots.get(path)
-        self.slots[path] = new if old is None else [old[0] + new[0], old[1] + new[1], old[2] + new[2], old[3] if old[3] == new[3] else None]
+        if old is not None:
+            pages = old[0] if old[0] == new[0] else sorted({*old[0], *new[0]})[:ALIKE]
+            new = [pages, old[1] + new[1], old[2] + new[2], old[3] if old[3] == new[3] else None, old[4] + new[4], old[5] + new[5]]
+        self.slots[path] = new
 
     def merge(self, other: Wrapper) -> None:
         self.tree = merged(self.tree, other.tree) if self.tree and other.tree else self.tree or other.tree
@@ -355,23 +377,31 @@ class Wrapper:
         return cls(*json.loads(text))
 
     def regions(self) -> tuple[list[str], list[str]]:
-        """(paths of content regions, paths of template slots outside marked articles)."""
-        marked: list[str] = []
+        """(paths of content regions, paths of template slots)."""
+        marked: tuple[set[str], set[str]] = (set(), set())
+        inside, total = [0, 0], [0, 0]
+        constant: list[str] = []
         weight: dict[str, float] = {}
-        for path, (_, chars, linked, _) in self.slots.items():
+        for path, (pages, chars, linked, same, *on) in self.slots.items():
             names = path.split("\t") if path else []
             if any(map(furniture, names)):
                 continue
-            first = next((k for k, x in enumerate(names) if x.split(" ")[0] == "article"), None)
-            first = first if first is not None else next((k for k, x in enumerate(names) if x.split(" ")[0] == "main" or "role=main" in x or "role=article" in x), None)
-            if first is not None:
-                marked.append("\t".join(names[: first + 1]))
+            first = marks(names)
+            for kind in range(2):
+                if first[kind] is not None:
+                    marked[kind].add("\t".join(names[: first[kind] + 1]))
+            if same is not None and len(pages) >= ALIKE:
+                constant.append(path)
+                continue
+            for kind in range(2):
+                total[kind] += on[kind]
+                inside[kind] += on[kind] if first[kind] is not None else 0
             for k in range(len(names) + 1):
                 at = "\t".join(names[:k])
                 weight[at] = weight.get(at, 0.0) + max(0, chars - 2 * linked)
-        if marked:
-            articles = [m for m in marked if m.split("\t")[-1].split(" ")[0] == "article"]
-            return sorted(set(articles or marked)), []
+        for kind in range(2):
+            if marked[kind] and 2 * inside[kind] >= total[kind]:
+                return sorted(marked[kind]), constant
         repeated = self._repeated()
         at = ""
         while True:
@@ -385,7 +415,6 @@ class Wrapper:
             if not top[1] or not top[0]:
                 break
             at = top[1]
-        constant = [p for p, (pages, _, _, same) in self.slots.items() if same is not None and pages >= 5]
         return [at], constant
 
     def _repeated(self) -> set[str]:

@@ -332,6 +332,23 @@ def test_pages(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_pages_wrapper_on_marked_hosts(spark):
+    template = lambda k: f"<body><article><h1>Head {k}</h1><div class=box>Funded by readers, as on all pages.</div><p>Story {k} goes on.</p><p>Always</p></article></body>"
+    teasers = lambda k: f"<body><article><p>Teaser {k}</article><div class=col>" + "".join(f"<p>Long sentence {k} {j} of the text itself.</p>" for j in range(4)) + "</div></body>"
+    rows = [(k, f"http://a.example/{k}", template(k)) for k in range(6)] + [(100 + k, f"http://b.example/{k}", teasers(k)) for k in range(6)]
+    rows += [(200 + k, "http://c.example/", template(1)) for k in range(6)] + [(300 + k, f"http://d.example/{k}", template(k)) for k in range(4)]
+    rows += [(400 + k, f"http://e.example/{k}", f"<main><article><p>T{k}</article><p>Own text {k} in main.</main><p>Outside {k}") for k in range(3)]
+    rows += [(500 + k, f"http://f.example/{k}", f"<article><p>Told {k}</article><p>Aside" if k % 3 == 0 else f"<div><p>{'A page without mark. ' * 9}{k}</div>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"Head {k}\nStory {k} goes on.\nAlways"
+        assert got[100 + k] == "\n".join(f"Long sentence {k} {j} of the text itself." for j in range(4))
+        assert "Funded by readers" in got[200 + k] and "Story 1" in got[200 + k]  # copies of one page say nothing
+        assert got[500 + k] == (f"Told {k}" if k % 3 == 0 else f"{'A page without mark. ' * 9}{k}")
+    assert all("Funded by readers" in got[300 + k] for k in range(4))
+    assert all(got[400 + k] == f"T{k}\nOwn text {k} in main." for k in range(3))
+
+
 def test_wrapper_is_a_union_free_expression():
     w = html_text.Wrapper()
     for html in ("<ul><li>a<li>b</ul><p>x", "<ul><li>a</ul><h2>t</h2><p>x<p>y", "<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x"):
