@@ -84,11 +84,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
-    """((id, s, n), token counts by bucket): s is a hash of the whole set."""
+    """((id, key, s, n), token counts by bucket) from (id, text, key): s is a hash of the whole set."""
     slices = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, counts, names = Shingler(shingler_words), np.zeros(buckets, dtype=np.int64), ["id", "s", "n", "slice", "counts"]
+        shingle, counts, names = Shingler(shingler_words), np.zeros(buckets, dtype=np.int64), ["id", "key", "s", "n", "slice", "counts"]
         for batch in batches:
             s, n = [], []
             for text in batch.column(1):
@@ -99,27 +99,28 @@ def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame
                 s.append(xxhash.xxh64_intdigest(tokens.tobytes()))
                 n.append(len(tokens))
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(np.array(s, dtype=np.uint64)), pa.array(n, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _signed(np.array(s, dtype=np.uint64)), pa.array(n, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = counts.reshape(slices, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(slices, pa.int64())] * 4, pa.array(range(slices), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary())], names=names)
         tidy()
 
     def added(key: tuple, part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), dtype="<i8") for x in part.column("counts"))
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    both = cut(docs.mapInArrow(run, "id long, s long, n long, slice int, counts binary"))
+    both = cut(docs.mapInArrow(run, "id long, key long, s long, n long, slice int, counts binary"))
     rows = both.where(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInArrow(added, "slice int, counts binary").collect()  # BUCKETS numbers
     total = np.zeros((slices, buckets // slices), dtype=np.int64)
     for r in rows:
         total[r[0]] = np.frombuffer(r[1], dtype="<i8")
-    return both.where(F.col("slice").isNull()).select("id", "s", "n"), total.ravel()
+    return both.where(F.col("slice").isNull()).select("id", "key", "s", "n"), total.ravel()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, set_id) for every row."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # rows are told by a hash that is never null, as their ids may be
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("id", "text"))
     member, counts = _sets(texts, words, BUCKETS)
     held = spark.sparkContext.broadcast(counts)
 
@@ -203,8 +204,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     needs = cut(wanted.mapInArrow(touched, "bp long, idx long"))
     used = numbered.join(needs.select("idx").distinct(), "idx").select("s", "idx")
-    one = cut(member.groupBy("s").agg(F.min("id").alias("id")).join(used, "s"))
+    one = cut(member.groupBy("s").agg(F.min("key").alias("key")).join(used, "s"))
     bearers = one.count()
+    keys = small(one.select("key"), bearers // 4)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -213,7 +215,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             yield pa.RecordBatch.from_arrays([_signed(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in got], dtype=np.uint64)), pa.array([x.tobytes() for x in got], pa.binary())], names=["s", "t"])
         tidy()
 
-    read = texts.join(small(one.select("id"), bearers // 4), "id", "left_semi").select("text").mapInArrow(whole_sets, "s long, t binary")
+    read = texts.join(keys, "key", "left_semi").select("key", "text")
+    if member.join(keys, "key", "left_semi").count() > bearers:
+        read = read.dropDuplicates(["key"])  # repeated rows are read once
+    read = read.select("text").mapInArrow(whole_sets, "s long, t binary")
     # only the sets that a pair of blocks needs travel to it
     stored = read.join(small(one.select("s", "idx"), bearers), "s").select("idx", "t")
     shipped = stored.join(small(needs, needs.count() // 4), "idx").groupBy("bp").agg(F.collect_list(F.struct("idx", "t")).alias("x"))

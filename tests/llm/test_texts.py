@@ -112,6 +112,19 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.similar(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_ngram_join_null_ids(spark):
+    rng = random.Random(12)
+    base, other, third = (words(rng, 120) for _ in range(3))
+    near = lambda w, k: " ".join([*w[:-1], f"end{k}"])
+    rows = [(1, near(base, 1), "s"), (None, near(base, 2), "s"), (None, near(other, 1), "s"), (None, near(other, 2), "t")] + [(None, near(base, 3), "s")] * 5
+    rows += [(7, near(third, 1), "s")] * 3 + [(7, near(third, 2), "s"), (None, None, "s"), (9, "something else", "s")]
+    got = ngram_join.similar(frame(spark, rows)).collect()
+    assert Counter((r["id"], r["component_id"]) for r in got) == Counter({(1, 1): 1, (None, 1): 6, (None, None): 3, (7, 7): 4, (9, 9): 1})
+    # both sets of the second text are on rows without an id: one of its names serves as well as the other
+    some = frame(spark, rows[2:4] + [(3, near(other, 3), "s")])
+    assert {r["component_id"] for r in ngram_join.similar(some).collect()} == {3}
+
+
 # quality
 
 
