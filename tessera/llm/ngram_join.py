@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, dense_index, remove, small, table, tidy, written
@@ -116,11 +116,18 @@ def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame
     return both.where(F.col("slice").isNull()).select("id", "key", "s", "n"), total.ravel()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, set_id) for every row."""
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, n_shingles, component_id, set_id) for every row; how: words, percent, longest, block."""
+    labelled = _labelled(docs, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), id_col, text_col, **how)
+    names = labelled.groupBy("c").agg(F.min("id").alias("component_id"))
+    return labelled.join(names, "c").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("s").alias("set_id"))
+
+
+def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+    """(id, key, s, n, c) for every row: rows of one component have one c. key: a hash of the row that holds its text; rows
+    are told by it, as their ids may be null or repeated."""
     spark = docs.sparkSession
-    # rows are told by a hash that is never null, as their ids may be
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     member, counts = _sets(texts, words, BUCKETS)
     held = spark.sparkContext.broadcast(counts)
 
@@ -247,9 +254,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     checked = wanted.join(shipped, "bp").select("w", "x").mapInArrow(verified, "a long, b long")
     joined = components(checked).join(numbered.select("s", F.col("idx").alias("node")), "node").select("s", "component")
-    labelled = member.join(joined, "s", "left").withColumn("c", F.when(F.col("n") == 0, F.struct(F.lit(2).alias("k"), F.coalesce("id", F.lit(0)).alias("v"))).when(F.col("component").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("component").alias("v"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("s").alias("v"))))
-    names = labelled.groupBy("c").agg(F.min("id").alias("component_id"))
-    return labelled.join(names, "c").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("s").alias("set_id"))
+    return member.join(joined, "s", "left").withColumn("c", F.when(F.col("n") == 0, F.struct(F.lit(2).alias("k"), F.coalesce("id", F.lit(0)).alias("v"))).when(F.col("component").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("component").alias("v"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("s").alias("v"))))
 
 
 def _probe(batch: pa.RecordBatch, percent: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -279,10 +284,20 @@ def _probe(batch: pa.RecordBatch, percent: int, most: int = 1 << 21) -> Iterator
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose component has a smaller id."""
-    got = similar(docs, id_col, text_col, **how)
-    leave = got.where(F.col("id") > F.col("component_id")).select(F.col("id").alias("__id")).distinct()
-    return docs.join(leave, F.col(id_col) == F.col("__id"), "left_anti")
+    """docs with exactly one row of each component: that of the smallest id (nulls last), set and row hash, and one of the rows
+    that are the same in all columns. Rows without shingles are similar to none and all stay."""
+    key = F.xxhash64(*docs.columns)
+    got = cut(_labelled(docs, key, id_col, text_col, **how).where("n > 0").select("c", "id", "s", "key"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "s", "key")
+    first = got.groupBy("c").agg(F.min(order)["key"].alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = cut(got.join(first.drop("rows"), "c").groupBy("key", "first").agg(F.count(F.lit(1)).alias("rows")))
+    keyed = docs.withColumn("__key", key)
+    out = keyed.join(shared.where("key <> first").select(F.col("key").alias("__key")).distinct(), "__key", "left_anti")
+    again = shared.where("key = first and rows > 1").select(F.col("key").alias("__key"))
+    if again.count():
+        one = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
+        out = out.join(again, "__key", "left_anti").select(*keyed.columns).union(one.select(*keyed.columns))
+    return out.select(*docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,22 @@ def test_ngram_join_null_ids(spark):
     assert {r["component_id"] for r in ngram_join.similar(some).collect()} == {3}
 
 
+def test_one_of_each_keeps_one_row(spark):
+    rng = random.Random(13)
+    base, other, alone, third = (words(rng, 120) for _ in range(4))
+    near = lambda w, k: " ".join([*w[:-1], f"end{k}"])
+    copies = [(5, near(base, 1), "s")] * 3 + [(5, near(base, 1), "t"), (6, near(base, 2), "s")]
+    nulls = [(None, near(other, 1), "s")] * 2 + [(None, near(other, 2), "s")]
+    shared = [(1, near(third, 1), "s"), (8, near(third, 2), "s"), (8, " ".join(alone), "s")]
+    empty = [(20, None, "s"), (20, None, "s"), (None, "", "s")]
+    out = ngram_join.one_of_each(frame(spark, copies + nulls + shared + empty))
+    assert out.columns == [c.split()[0] for c in DOCS.split(", ")]
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    lost = [x for x in got if x[0] is None and x[1]]
+    assert len(lost) == 1 and got.pop(lost[0]) == 1 and lost[0][1] in (near(other, 1), near(other, 2))
+    assert got == Counter({(5, near(base, 1)): 1, (1, near(third, 1)): 1, (8, " ".join(alone)): 1, (20, None): 2, (None, ""): 1})
+
+
 # quality
 
 
