@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from .errors import InvalidColumnError, InvalidQueryError
 from .model import Frames, Model
 from .plans.policy import Settings
 from .query import ENTITIES, SCALAR, Query, pluck
+from .sources import by_keys, few
 
 ABSENT = object()
 
@@ -88,12 +90,16 @@ class CrudHelper:
         return spark.createDataFrame([tuple(row.values())], T.StructType([T.StructField(f.name, f.dataType) for f in self.model.schema.fields]))
 
     def updated(self, before: Mapping, values: Mapping) -> dict:
-        """A row after an update; objects for JSON columns are merged into the old ones, one level deep."""
+        """A row after an update. An object for a JSON column is merged into an old object, one level deep; any other old
+        value (null, an array, a scalar, text that is no JSON) is replaced by it."""
         after = dict(before)
         for name, value in self._fields(values, "update").items():
             if name in self.model.json and isinstance(value, Mapping):
-                old = json.loads(before[name]) if before.get(name) else {}
-                value = {**old, **value} if isinstance(old, dict) else value
+                try:
+                    old = json.loads(before.get(name) or "{}")
+                except ValueError:
+                    old = None
+                value = {**old, **value} if isinstance(old, dict) else dict(value)
             after[name] = self._value(name, value)
         return after
 
@@ -110,9 +116,9 @@ class CrudHelper:
 
     @staticmethod
     def _json_merged(column, new: Mapping):
-        """Shallow merge of JSON text: a variant's fields that are not in new, then new's."""
+        """Shallow merge of JSON text: a variant's fields that are not in new, then new's. What is no object has no fields."""
         fresh = json.dumps(dict(new))
-        old = F.from_json(F.coalesce(column, F.lit("{}")), "map<string,variant>")
+        old = F.coalesce(F.from_json(column, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
         kept = F.map_filter(old, lambda k, v: ~k.isin(list(new)))
         text = F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(": "), F.to_json(e["value"]))), ", ")
         inner = fresh[1:-1]
@@ -121,21 +127,20 @@ class CrudHelper:
     def upsert_many(self, many: list[Mapping], rows: DataFrame, ignore_missing: bool = False) -> DataFrame:
         """(ordinal, change, columns): each given object as a new row, an update of the row with its key, or not_found.
 
-        The batch is one request; it is joined to the table by key in one plan.
+        The batch is one request: its keys pick the table's rows by a semi-join, and only those are joined to it.
         """
         keys, spark = self.model.primary_key, rows.sparkSession
         fields = [T.StructField(f"__n_{f.name}", f.dataType) for f in self.model.schema.fields]
         given = [self._fields(x, "upsert") for x in many]
         data = [(i, sorted(x), *[self._value(n, x.get(n)) for n in self.model.columns]) for i, x in enumerate(given)]
         batch = spark.createDataFrame(data, T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("__given", T.ArrayType(T.StringType())), *fields]))
-        on = [F.col(f"__n_{k}") == rows[k] for k in keys]
-        condition = on[0]
-        for c in on[1:]:
-            condition = condition & c
-        found = F.broadcast(batch).join(rows.withColumn("__found", F.lit(True)), condition, "left")
+        wanted = batch.select(*[F.col(f"__n_{k}").alias(k) for k in keys]).distinct()
+        near = rows.join(few(wanted, len(many)), list(keys), "left_semi").withColumn("__found", F.lit(True))
+        condition = reduce(lambda a, b: a & b, [F.col(f"__n_{k}") == near[k] for k in keys])
+        found = batch.join(near, condition, "left")
         complete = F.size(F.array_except(F.array(*[F.lit(k) for k in keys]), "__given")) == 0
         kind = F.when(F.col("__found"), "update").when(complete, "not_found").otherwise("create")
-        columns = [F.when(F.array_contains("__given", n), F.col(f"__n_{n}")).otherwise(rows[n]).alias(n) for n in self.model.columns]
+        columns = [F.when(F.array_contains("__given", n), F.col(f"__n_{n}")).otherwise(near[n]).alias(n) for n in self.model.columns]
         out = found.select("ordinal", kind.alias("change"), *columns)
         return out.where("change <> 'not_found'") if ignore_missing else out
 
@@ -262,13 +267,13 @@ class CrudView:
     def method_create_or_update_many(self, many: list[Mapping], ignore_missing: bool = True) -> list[Change | Exception]:
         """A change or an error for each object; rows of all keys are read in one query."""
         keys = self.crudhelper.model.primary_key
-        from .sources import by_keys
-
-        wanted = [tuple(x[k] for k in keys) for x in many if all(x.get(k) is not None for k in keys)]
+        wanted = [tuple(x[k] for k in keys) for x in many if isinstance(x, Mapping) and all(x.get(k) is not None for k in keys)]
         have = {tuple(r[k] for k in keys): r for r in pluck(by_keys(self._rows(), wanted, keys))} if wanted else {}
         out: list[Change | Exception] = []
         for x in many:
             try:
+                if not isinstance(x, Mapping):
+                    raise InvalidQueryError("each item must be an object")
                 own, related = self._split(x)
                 key = tuple(x.get(k) for k in keys)
                 if None in key:

@@ -23,5 +23,13 @@ class InvalidRelationError(InvalidColumnError):
         self.model, self.name, self.where = model, name, where
 
 
+class NotLoadedError(InvalidQueryError, KeyError):
+    """A member of a result row was read that the query did not load, and the settings make that an error."""
+
+    def __init__(self, model: str, name: str):
+        AssertionError.__init__(self, f"{name!r} of {model} was not loaded")
+        self.model, self.name = model, name
+
+
 class RuntimeQueryError(RuntimeError):
     """Spark refused a bound query; says on which relation."""

@@ -163,6 +163,14 @@ class Frames:
 
     def __init__(self, spark: SparkSession | None = None, folder: str = "", frames: Mapping[str, DataFrame] | None = None):
         self.spark, self.folder, self.frames = spark, folder, dict(frames or {})
+        #: What turns a filter's test into a Column, if not filter.column_test.
+        self.column_test: Callable | None = None
+
+    def testing(self, column_test: Callable | None) -> Frames:
+        """The same frames for a query with another way to test a column."""
+        out = Frames(self.spark, self.folder, self.frames)
+        out.column_test = column_test
+        return out
 
     def of(self, model: Model) -> DataFrame:
         df = self.frames.get(model.name)

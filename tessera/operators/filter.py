@@ -118,7 +118,8 @@ def _literal(kind: T.DataType | None) -> Callable[[object], Column]:
     return F.lit
 
 
-def _test(scope: Scope, test: Test) -> Column:
+def column_test(scope: Scope, test: Test) -> Column:
+    """One operator on one member of the row as a Column; a query's own handlers may replace it."""
     if test.kind == "json":
         text = scope[test.name]
         if isinstance(test.operand, list):
@@ -150,7 +151,8 @@ def condition(scope: Scope, group: Group) -> Column:
         both = reduce(lambda a, b: a | b, [condition(scope, p) for p in group.parts])
         return both if group.operator == "$or" else ~both
     own, related, proxies = _split(scope, group.parts)
-    parts = [condition(scope, p) if isinstance(p, Group) else _test(scope, p) for p in own]
+    test = scope.frames.column_test or column_test
+    parts = [condition(scope, p) if isinstance(p, Group) else test(scope, p) for p in own]
     parts += [related_exists(scope, r, Group("$and", tuple(tests))) for r, tests in related.items()]
     parts += [related_exists(scope, r, Group("$and", (t,))) for r, t in proxies]
     both = reduce(lambda a, b: a & b, parts, F.lit(True)) if parts else F.lit(True)
@@ -176,19 +178,20 @@ def related_rows(scope: Scope, relation: str, group: Group) -> tuple[list[str],
     more = (rel.where(inner),) if rel.where else ()
     child = apply(inner, child, group, more)
     if rel.secondary:
-        child = through(scope, rel, child, [])
+        child = through(scope, rel, child)
         return rel.own_keys, child.select(*[F.col(f"__k{i}").alias(f"__r{i}") for i in range(len(rel.own_keys))])
     return rel.own_keys, child.select(*[F.col(b).alias(f"__r{i}") for i, (_, b) in enumerate(rel.keys)])
 
 
-def through(scope: Scope, rel, child: DataFrame, keep: list[str]) -> DataFrame:
-    """child joined to its secondary table: its columns and the parents' keys as __k0, __k1 ..."""
+def through(scope: Scope, rel, child: DataFrame, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """child joined to its secondary table, whose rows `only` may restrict: its columns and the parents' keys as __k0, __k1 ..."""
     s = rel.secondary
     table = scope.frames.secondary(s)
     if s.where:
         table = table.where(s.where(table))
     own = [F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(s.own)]
-    pairs = table.select(*own, *[F.col(a).alias(f"__t{i}") for i, (a, _) in enumerate(s.target)]).distinct()
+    pairs = table.select(*own, *[F.col(a).alias(f"__t{i}") for i, (a, _) in enumerate(s.target)])
+    pairs = (only(pairs) if only else pairs).distinct()
     on = reduce(lambda a, b: a & b, [pairs[f"__t{i}"] == child[b] for i, (_, b) in enumerate(s.target)])
     return child.join(pairs, on).drop(*[f"__t{i}" for i in range(len(s.target))])
 

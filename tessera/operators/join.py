@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidQueryError, InvalidRelationError
 from ..model import Model, Scope
@@ -38,11 +39,15 @@ def read(model: Model, spec: object, where: str, legacy: frozenset[str] = frozen
     return out
 
 
-def related(scope: Scope, relation: str, child: DataFrame, keep: list[str]) -> DataFrame:
-    """child with the keys of its parents as __k0, __k1 ...; a child of several parents is one row for each."""
+def related(scope: Scope, relation: str, child: DataFrame, parents: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """child with the keys of its parents as __k0, __k1 ...; a child of several parents is one row for each.
+
+    parents, if given, are the only ones whose pairs a many-to-many relation needs; few: their keys may be broadcast.
+    """
     rel = scope.model.relations[relation]
     if rel.secondary:
-        return through(scope, rel, child, keep)
+        only = None if parents is None else lambda pairs: only_of(parents, rel.own_keys, pairs, few)
+        return through(scope, rel, child, only)
     return child.withColumns({f"__k{i}": F.col(b) for i, (_, b) in enumerate(rel.keys)})
 
 
@@ -50,11 +55,20 @@ def on(parent: DataFrame, child: DataFrame, own: list[str], prefix: str) -> Colu
     return reduce(lambda a, b: a & b, [parent[k] == child[f"{prefix}{i}"] for i, k in enumerate(own)])
 
 
+def once(page: DataFrame) -> DataFrame:
+    """A bounded page behind an exchange by all of its columns: as none of them can be pruned below it, the page's own plan and
+    those that only need its keys have the same exchange, which Spark computes once and reuses."""
+    if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in page.schema.fields):
+        return page
+    return page.repartition(1, *[F.col(f"`{c}`") for c in page.columns])
+
+
 def only_of(parents: DataFrame, own: list[str], child: DataFrame, bounded: bool) -> DataFrame:
-    """The children of the given parents; the keys of a bounded page are broadcast."""
+    """The children of the given parents; the keys of a bounded page are broadcast. Null keys meet each other here, so that no
+    filter for them gets between the page and its exchange; they part again where rows are nested."""
     keys = parents.select(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(own)])
     keys = F.broadcast(keys) if bounded else keys
-    return child.join(keys, reduce(lambda a, b: a & b, [child[f"__k{i}"] == keys[f"__p{i}"] for i in range(len(own))]), "left_semi")
+    return child.join(keys, reduce(lambda a, b: a & b, [child[f"__k{i}"].eqNullSafe(keys[f"__p{i}"]) for i in range(len(own))]), "left_semi")
 
 
 def nest(parent: DataFrame, relation: str, own: list[str], child: DataFrame, payload: list[str], many: bool, inner: bool) -> DataFrame:

@@ -24,7 +24,7 @@ def page(df: DataFrame, skip: int, limit: int | None) -> DataFrame:
 
 
 def page_per_parent(df: DataFrame, keys: list[str], order: list[Column], skip: int, limit: int | None) -> DataFrame:
-    """Each parent's rows in order, numbered in __rn, of which skip are left out and at most limit stay."""
+    """Each parent's rows numbered in __rn, of which skip are left out and at most limit stay."""
     df = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if skip:
         df = df.where(F.col("__rn") > skip)

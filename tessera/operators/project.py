@@ -20,13 +20,13 @@ def _names(spec: object) -> list[str]:
     return spec.split() if isinstance(spec, str) else list(spec)
 
 
-def read(model: Model, spec: object, legacy: frozenset[str] = frozenset()) -> tuple[dict[str, int], dict[str, object]]:
-    """(name -> 0 or 1, relation -> nested query or None) of any input form."""
+def read(model: Model, spec: object, legacy: frozenset[str] = frozenset()) -> tuple[dict[str, int], dict[str, object], list[str]]:
+    """(name -> 0 or 1, relation -> nested query or None, relations named with 0) of any input form."""
     if isinstance(spec, (str, list, tuple, set, frozenset)):
         spec = dict.fromkeys(_names(spec), 1)
     if not isinstance(spec, Mapping):
         raise InvalidQueryError("project must be a string, a list or an object")
-    plain, nested = {}, {}
+    plain, nested, dropped = {}, {}, []
     for name, value in spec.items():
         kind = model.kind(name) if isinstance(name, str) else None
         if name in legacy:
@@ -38,13 +38,15 @@ def read(model: Model, spec: object, legacy: frozenset[str] = frozenset()) -> tu
                 raise InvalidQueryError(f"project: {name!r} must be 0, 1 or a query object")
             elif value:
                 nested[name] = None
+            else:
+                dropped.append(name)
         elif name not in model.attributes:
             raise InvalidColumnError(model.name, str(name), "project")
         elif value not in (0, 1) or isinstance(value, Mapping):
             raise InvalidQueryError(f"project: {name!r} must be 0 or 1")
         else:
             plain[name] = int(value)
-    return plain, nested
+    return plain, nested, dropped
 
 
 class Projection:
@@ -67,17 +69,19 @@ class Projection:
         if spec is None:
             self.mode, self.named = EXCLUDE, {}
         else:
-            plain, nested = read(self.model, spec, self.legacy)
+            plain, nested, dropped = read(self.model, spec, self.legacy)
             if nested and not self.join_enabled:
                 raise DisabledError("project: relations need join, which is disabled")
             self.relations = dict(nested)
-            self.mode, self.named = self._mode(plain, empty=not plain), dict(plain)
+            # relations alone set the mode too: only left out ones leave every column in
+            self.mode = self._mode(plain) if plain else EXCLUDE if dropped and not nested else INCLUDE
+            self.named = dict(plain)
         self._force()
         return self
 
-    def _mode(self, plain: Mapping[str, int], empty: bool = False) -> str:
+    def _mode(self, plain: Mapping[str, int]) -> str:
         values = set(plain.values())
-        if empty or values == {1}:
+        if values == {1}:
             return INCLUDE
         if values == {0}:
             return EXCLUDE
@@ -118,8 +122,8 @@ class Projection:
         return base | {n: v for n, v in self.named.items() if n in base}
 
     def merge(self, spec: object, quietly: bool = False) -> Projection:
-        """Adds another projection. Quietly: what was not shown before is loaded without being shown."""
-        plain, nested = read(self.model, spec, self.legacy)
+        """Adds another projection. Quietly: what was not shown before is loaded without being shown, and nothing goes."""
+        plain, nested, dropped = read(self.model, spec, self.legacy)
         if quietly:
             shown = self._full()
             self.quiet |= {n for n, v in plain.items() if v and not shown.get(n)}
@@ -131,6 +135,8 @@ class Projection:
             for name, q in nested.items():
                 self.relations[name] = q
                 self.quiet_relations.discard(name)
+            for name in dropped:
+                self.relations.pop(name, None)
             if plain:
                 self._merge(plain, self._mode(plain))
                 self.quiet -= {n for n, v in plain.items() if v}

@@ -25,6 +25,8 @@ class Settings(dict):
             raise KeyError(f"Unknown settings: {', '.join(sorted(map(str, unknown)))}")
         if self.get("allowed_relations") is not None and self.get("banned_relations") is not None:
             raise ValueError("allowed_relations and banned_relations exclude each other")
+        if self.get("raiseload") and (self.get("raiseload_col") or self.get("raiseload_rel")):
+            raise ValueError("raiseload already is raiseload_col and raiseload_rel")
 
     def and_more(self, **more) -> Settings:
         return Settings(self | more)
@@ -36,6 +38,11 @@ class Settings(dict):
     def enabled(self, handler: str) -> bool:
         return bool(self.get(f"{handler}_enabled", True)) and (handler != "joinf" or bool(self.get("join_enabled", True)))
 
+    def raising(self) -> tuple[bool, bool]:
+        """Whether reading a column, and a relation, that was not loaded is an error."""
+        both = bool(self.get("raiseload"))
+        return both or bool(self.get("raiseload_col")), both or bool(self.get("raiseload_rel"))
+
     def legacy(self) -> frozenset[str]:
         return frozenset(self.get("legacy_fields") or ())
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import DisabledError, InvalidColumnError, InvalidQueryError, RuntimeQueryError
+from .errors import DisabledError, InvalidColumnError, InvalidQueryError, NotLoadedError, RuntimeQueryError
 from .model import Frames, Model, Scope
 from .operators import aggregate as aggregates
 from .operators import filter as filters
@@ -24,6 +24,22 @@ KEYS = ("project", "sort", "group", "filter", "join", "joinf", "aggregate", "ski
 ENTITIES, TUPLES, SCALAR = "entities", "tuples", "scalar"
 
 
+@dataclass(frozen=True)
+class Handlers:
+    """What reads each part of a query object and turns it into Columns. A subclass of Query may set its own."""
+
+    project: Callable[..., Projection] = Projection
+    filter: Callable = filters.parse
+    sort: Callable = sorts.parse
+    group: Callable = sorts.parse
+    aggregate: Callable = aggregates.parse
+    join: Callable = joins.read
+    limit: Callable = limits.parse
+    #: (scope, filter test) and (scope, aggregate) to a Column.
+    column_test: Callable | None = None
+    column_aggregate: Callable = aggregates.column
+
+
 @dataclass
 class Checked:
     """A query object after all checks. Only what it says is left for Spark."""
@@ -53,7 +69,7 @@ class Checked:
         return self.queried or bool(self.settings.get("max_items") or self.settings.get("force_filter"))
 
 
-def check(model: Model, settings: Settings, qo: Mapping, *, limited: bool = True, path: str = "") -> Checked:
+def check(model: Model, settings: Settings, qo: Mapping, *, limited: bool = True, path: str = "", handlers: Handlers = Handlers()) -> Checked:
     """Parses and checks a query object with everything nested in it."""
     unknown = set(qo) - set(KEYS)
     if unknown:
@@ -73,16 +89,16 @@ def check(model: Model, settings: Settings, qo: Mapping, *, limited: bool = True
     legacy = settings.legacy()
     operators = filters.Operators(settings.get("scalar_operators") or {}, settings.get("array_operators") or {})
     forced = settings.get("force_filter")
-    force = filters.parse(model, forced, operators, legacy) if isinstance(forced, Mapping) else None
-    criteria = filters.parse(model, given.get("filter"), operators, legacy)
+    force = handlers.filter(model, forced, operators, legacy) if isinstance(forced, Mapping) else None
+    criteria = handlers.filter(model, given.get("filter"), operators, legacy)
     if force:
         criteria = filters.Group("$and", (*criteria.parts, *force.parts))
-    aggregate = aggregates.parse(model, given.get("aggregate"), columns=frozenset(settings.get("aggregate_columns") or ()), labels=bool(settings.get("aggregate_labels")), insecure=bool(settings.get("aggregate_insecure")), operators=operators, force=force, legacy=legacy)
-    sort = sorts.parse(model, given.get("sort"), "sort", legacy)
-    group = sorts.parse(model, given.get("group"), "group", legacy)
+    aggregate = handlers.aggregate(model, given.get("aggregate"), columns=frozenset(settings.get("aggregate_columns") or ()), labels=bool(settings.get("aggregate_labels")), insecure=bool(settings.get("aggregate_insecure")), operators=operators, force=force, legacy=legacy)
+    sort = handlers.sort(model, given.get("sort"), "sort", legacy)
+    group = handlers.group(model, given.get("group"), "group", legacy)
     most = settings.get("max_items") if limited and not count else None
-    skip, limit = limits.parse(given.get("skip"), given.get("limit"), most)
-    projection = Projection(model, **{k: settings[k] for k in PROJECT if k in settings}, legacy=legacy, join_enabled=settings.enabled("join"))
+    skip, limit = handlers.limit(given.get("skip"), given.get("limit"), most)
+    projection = handlers.project(model, **{k: settings[k] for k in PROJECT if k in settings}, legacy=legacy, join_enabled=settings.enabled("join"))
     if not aggregate and not count:
         projection.input(given.get("project"))
     out = Checked(model, settings, given, projection, criteria, sort, group, aggregate, skip, limit, bool(count))
@@ -97,8 +113,8 @@ def check(model: Model, settings: Settings, qo: Mapping, *, limited: bool = True
     elif group and not count:
         if not set(model.primary_key) <= set(group):
             raise InvalidQueryError("group without aggregate needs the primary key")
-    join = joins.read(model, given.get("join"), "join", legacy)
-    joinf = joins.read(model, given.get("joinf"), "joinf", legacy)
+    join = handlers.join(model, given.get("join"), "join", legacy)
+    joinf = handlers.join(model, given.get("joinf"), "joinf", legacy)
     if (aggregate or (group and not count)) and join:
         raise InvalidQueryError("join can't be used with aggregate or group")
     if aggregate and joinf and (skip or limit):
@@ -113,11 +129,11 @@ def check(model: Model, settings: Settings, qo: Mapping, *, limited: bool = True
             raise DisabledError(f"Relation {name!r} of {model.name} is disabled")
     for where, names, into in (("join", join, out.join), ("joinf", joinf, out.joinf)):
         for name, nested in names.items():
-            into[name] = _check_nested(model, settings, name, nested, where, f"{path}.{name}" if path else name, limited)
+            into[name] = _check_nested(model, settings, name, nested, where, f"{path}.{name}" if path else name, limited, handlers)
     return out
 
 
-def _check_nested(model: Model, settings: Settings, name: str, nested: Mapping | None, where: str, path: str, limited: bool) -> Checked:
+def _check_nested(model: Model, settings: Settings, name: str, nested: Mapping | None, where: str, path: str, limited: bool, handlers: Handlers = Handlers()) -> Checked:
     sub = settings.nested(model, name)
     target, many = model.target(name), model.relations[name].many
     banned = ("aggregate", "group", "count") if where == "join" and many else ("aggregate", "group", "count", "skip", "limit")
@@ -126,7 +142,7 @@ def _check_nested(model: Model, settings: Settings, name: str, nested: Mapping |
             raise InvalidQueryError(f"{where}: {key} is not possible on relation {path!r}")
     if sub.get("max_items") and (where == "joinf" or not many):
         raise ValueError(f"max_items is not possible on relation {path!r}")
-    got = check(target, sub, nested or {}, limited=limited, path=path)
+    got = check(target, sub, nested or {}, limited=limited, path=path, handlers=handlers)
     got.queried = bool(nested)
     return got
 
@@ -134,8 +150,8 @@ def _check_nested(model: Model, settings: Settings, name: str, nested: Mapping |
 class Binder:
     """Builds DataFrames from checked queries. Everything stays lazy."""
 
-    def __init__(self, frames: Frames):
-        self.frames = frames
+    def __init__(self, frames: Frames, handlers: Handlers = Handlers()):
+        self.frames, self.handlers = frames.testing(handlers.column_test), handlers
 
     def base(self, q: Checked, df: DataFrame | None = None) -> tuple[Scope, DataFrame]:
         """The model's rows that meet filter and force_filter."""
@@ -160,7 +176,7 @@ class Binder:
             inner, child = self.base(nested)
             child = child.where(rel.where(inner)) if rel.where else child
             child = self.flat(inner, child, nested)
-            keyed = joins.related(scope, name, child, [])
+            keyed = joins.related(scope, name, child)
             keyed = keyed.select(*[F.col(f"__k{i}").alias(f"__f{i}") for i in range(len(rel.own_keys))])
             df = df.join(keyed, joins.on(df, keyed, rel.own_keys, "__f")).drop(*[f"__f{i}" for i in range(len(rel.own_keys))])
         return df
@@ -171,12 +187,12 @@ class Binder:
             return self.flat(scope, df, q).agg(F.count(F.lit(1)).alias("count"))
         if q.kind == TUPLES:
             return self.tuples(scope, df, q)
-        out, names = self.entities(scope, df, q, [])
+        out, names = self.entities(scope, df, q, [], root=True)
         return out.select(*names)
 
     def tuples(self, scope: Scope, df: DataFrame, q: Checked) -> DataFrame:
         df = self.flat(scope, df, q)
-        made = [aggregates.column(scope, a).alias(a.label) for a in q.aggregate if a.operator is not None]
+        made = [self.handlers.column_aggregate(scope, a).alias(a.label) for a in q.aggregate if a.operator is not None]
         if not q.group:
             return limits.page(df.agg(*made), q.skip, q.limit)
         keys = {name: f"__g{i}" for i, name in enumerate(q.group)}
@@ -189,8 +205,11 @@ class Binder:
         out = limits.page(out, q.skip, q.limit)
         return out.select(*[F.col(keys[a.operand]).alias(a.label) if a.operator is None else F.col(f"`{a.label}`") for a in q.aggregate])
 
-    def entities(self, scope: Scope, df: DataFrame, q: Checked, keep: list[str], parents: tuple | None = None) -> tuple[DataFrame, list[str]]:
-        """(frame, its visible columns). keep names columns that stay, as a parent needs them; parents makes the page per parent."""
+    def entities(self, scope: Scope, df: DataFrame, q: Checked, keep: list[str], parents: list[str] | None = None, of: int | None = None, root: bool = False) -> tuple[DataFrame, list[str]]:
+        """(frame, its visible columns). keep names columns that stay, as a parent needs them; parents makes the page per parent.
+
+        of: how many parents there are at most, if only the rows of some are wanted; 0 if there is no bound, None if all rows are.
+        """
         model, sort = q.model, sorts.sort_columns(scope, q.sort)
         order = {f"__s{i}": (c, d) for i, (c, d) in enumerate(sort)}
         rel_names = [*q.joinf, *q.join]
@@ -201,35 +220,44 @@ class Binder:
         by = [sorts.ordered(F.col(s), d) for s, (_, d) in order.items()]
         unique = [F.col(k).asc_nulls_last() for k in model.primary_key]
         if parents is not None:
-            df = limits.page_per_parent(df, parents, [*by, *unique], q.skip, q.limit)
+            if q.skip or q.limit or any(d < 0 for _, d in sort):
+                df = limits.page_per_parent(df, parents, [*by, *unique], q.skip, q.limit)
+            else:
+                # without a page, sorting each parent's array is enough
+                rank = [x for c in [*order, *model.primary_key] for x in (F.col(c).isNull(), F.col(c))]
+                df = df.withColumn("__rn", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank)]))
         elif q.skip or q.limit:
             df = limits.page(df.orderBy(*by, *unique), q.skip, q.limit)
-        bounded = parents is None and bool(q.limit) and q.limit <= joins.PAGE_BROADCAST
+        page = q.limit if root else of if of is None or parents is None else of * (q.limit or 0)
         values = {n: scope[n] for n in plain if n not in model.columns}
         df = df.withColumns({f"__v_{n}": c for n, c in values.items()}) if values else df
         extra = [c for c in df.columns if c.startswith("__")]
         df = df.select(*dict.fromkeys([*keys, *[n for n in plain if n in model.columns], *extra]))
+        if root and page and page <= joins.PAGE_BROADCAST and rel_names:
+            df = joins.once(df)
         filtering = self.filtering(q)
         for name, nested, inner in [*[(n, x, n in filtering) for n, x in q.joinf.items()], *[(n, x, False) for n, x in q.join.items()]]:
-            df = self.nested(scope, df, q, name, nested, inner, bounded)
+            df = self.nested(scope, df, q, name, nested, inner, page)
         for name in visible:
             if model.attributes[name] == "proxy":
-                df = self.proxy(scope, df, name)
-        if order and parents is None:
+                df = self.proxy(scope, df, name, page)
+        if root and (order or page):
             df = df.orderBy(*by, *unique)
         shown = [F.col(n).alias(n) if n in model.columns else F.col(f"__p_{n}").alias(n) if model.attributes[n] == "proxy" else F.col(f"__v_{n}").alias(n) for n in visible]
         shown += [F.col(f"__j_{r}").alias(r) for r in rel_names if r not in q.projection.quiet_relations]
         return df, shown
 
-    def nested(self, scope: Scope, df: DataFrame, q: Checked, name: str, nested: Checked, inner: bool, bounded: bool) -> DataFrame:
+    def nested(self, scope: Scope, df: DataFrame, q: Checked, name: str, nested: Checked, inner: bool, page: int | None) -> DataFrame:
         rel = q.model.relations[name]
         inside, child = self.base(nested)
         child = child.where(rel.where(inside)) if rel.where else child
-        child = joins.related(scope, name, child, [])
-        if bounded:
-            child = joins.only_of(df, rel.own_keys, child, True)
+        few = bool(page) and page <= joins.PAGE_BROADCAST
+        some = page is not None or bool(q.filter.parts)
+        child = joins.related(scope, name, child, df if some else None, few)
+        if page is not None and not rel.secondary:
+            child = joins.only_of(df, rel.own_keys, child, few)
         keys = [f"__k{i}" for i in range(len(rel.own_keys))]
-        child, shown = self.entities(inside, child, nested, keys, keys if rel.many else None)
+        child, shown = self.entities(inside, child, nested, keys, keys if rel.many else None, page)
         payload = [f"__o{i}" for i in range(len(shown))]
         names = [nested_name for nested_name in self._names(shown, child)]
         rn = [F.col("__rn")] if rel.many else []
@@ -241,18 +269,20 @@ class Binder:
     def _names(shown: list[Column], df: DataFrame) -> list[str]:
         return df.select(*shown).columns
 
-    def proxy(self, scope: Scope, df: DataFrame, name: str) -> DataFrame:
+    def proxy(self, scope: Scope, df: DataFrame, name: str, page: int | None) -> DataFrame:
         """A column of a relation's rows as a list."""
         relation, column = scope.model.proxies[name]
         target = scope.model.target(relation)
         q = check(target, Settings(), {"project": [column], "sort": [column]})
-        df = self.nested(scope, df, check(scope.model, Settings(), {}), relation, q, False, False)
+        df = self.nested(scope, df, check(scope.model, Settings(), {}), relation, q, False, page)
         return df.withColumn(f"__p_{name}", F.transform(f"__j_{relation}", lambda x: x[column])).drop(f"__j_{relation}")
 
 
 class Query:
     """A query on a model: settings, a source of rows, and a query object."""
 
+    handlers = Handlers()
+
     def __init__(self, model: Model, settings: Mapping | None = None, **more):
         self.model, self.settings = model, Settings(settings or {}, **more)
         self.settings.check(model)
@@ -294,7 +324,7 @@ class Query:
         qo = dict(self.qo)
         if not self.limited:
             qo.pop("skip", None), qo.pop("limit", None)
-        self.checked = check(self.model, self.settings, qo, limited=True)
+        self.checked = check(self.model, self.settings, qo, limited=True, handlers=self.handlers)
         if not self.limited:
             self.checked.skip, self.checked.limit = 0, None
 
@@ -328,7 +358,7 @@ class Query:
             self.checked.projection.merge(spec, quiet)
             for name, nested in self.checked.projection.joined().items():
                 if name not in self.checked.join and name not in self.checked.joinf:
-                    self.checked.join[name] = _check_nested(self.model, self.settings, name, nested, "join", name, True)
+                    self.checked.join[name] = _check_nested(self.model, self.settings, name, nested, "join", name, True, self.handlers)
         return self
 
     def ensure_loaded(self, *names: str, limits_allowed: bool = False) -> Query:
@@ -354,7 +384,7 @@ class Query:
     def end(self) -> DataFrame:
         """The lazy result: entities with nested relations, grouped rows, or a count."""
         try:
-            return Binder(self.frames).bind(self._ready(), self.root)
+            return Binder(self.frames, self.handlers).bind(self._ready(), self.root)
         except PySparkException as e:
             raise RuntimeQueryError(f"{self.model.name}: {e}") from e
 
@@ -363,19 +393,20 @@ class Query:
         q = self._ready()
         if q.kind != ENTITIES:
             raise InvalidQueryError("end_count needs a query for entities")
-        scope, df = Binder(self.frames).base(q, self.root)
-        for name, nested in Binder(self.frames).filtering(q).items():
+        binder = Binder(self.frames, self.handlers)
+        scope, df = binder.base(q, self.root)
+        for name, nested in binder.filtering(q).items():
             rel = self.model.relations[name]
-            inside, child = Binder(self.frames).base(nested)
+            inside, child = binder.base(nested)
             child = child.where(rel.where(inside)) if rel.where else child
-            child = joins.related(scope, name, Binder(self.frames).flat(inside, child, nested), [])
+            child = joins.related(scope, name, binder.flat(inside, child, nested))
             keyed = child.select(*[F.col(f"__k{i}").alias(f"__f{i}") for i in range(len(rel.own_keys))])
             df = df.join(keyed, joins.on(df, keyed, rel.own_keys, "__f"), "left_semi")
-        return Counted(self.end(), df.agg(F.count(F.lit(1)).alias("count")))
+        return Counted(self.end(), df.agg(F.count(F.lit(1)).alias("count")), q)
 
     def rows(self) -> list[dict]:
-        """The result as nested dictionaries."""
-        return pluck(self.end())
+        """The result as nested dictionaries; where settings say so, reading a name that was not loaded raises."""
+        return guarded(pluck(self.end()), self._ready())
 
     def scalar(self) -> int:
         return self.end().first()[0]
@@ -447,8 +478,8 @@ def _merge_joins(model: Model, old: object, new: object, quietly: bool, strict:
 class Counted:
     """Rows and their total without skip and limit; both are computed when first asked for, in any order."""
 
-    def __init__(self, df: DataFrame, total: DataFrame):
-        self.df, self._total = df, total
+    def __init__(self, df: DataFrame, total: DataFrame, q: Checked):
+        self.df, self._total, self._q = df, total, q
 
     @cached_property
     def count(self) -> int:
@@ -456,7 +487,7 @@ class Counted:
 
     @cached_property
     def _rows(self) -> list[dict]:
-        return pluck(self.df)
+        return guarded(pluck(self.df), self._q)
 
     def __iter__(self) -> Iterator[dict]:
         return iter(self._rows)
@@ -466,6 +497,35 @@ class Counted:
         return self.df.withColumn(name, self._total.scalar())
 
 
+class Guarded(dict):
+    """A result row that tells names that were not loaded from names that don't exist."""
+
+    def __init__(self, row: Mapping, model: Model, banned: frozenset[str]):
+        super().__init__(row)
+        self.model, self.banned = model, banned
+
+    def __missing__(self, name: str):
+        raise NotLoadedError(self.model.name, name) if name in self.banned else KeyError(name)
+
+    def get(self, name: str, default=None):
+        return self[name] if name in self or name in self.banned else default
+
+
+def guarded(rows: list[dict], q: Checked) -> list[dict]:
+    """rows as Guarded ones wherever the settings of the model or of a relation ask for it."""
+    if q.kind != ENTITIES:
+        return rows
+    columns, relations = q.settings.raising()
+    banned = frozenset([*(q.model.attributes if columns else ()), *(q.model.relations if relations else ())])
+
+    def inside(value, nested: Checked):
+        return value if value is None else guarded(value, nested) if isinstance(value, list) else guarded([value], nested)[0]
+
+    loaded = {**q.join, **q.joinf}
+    out = [{k: inside(v, loaded[k]) if k in loaded else v for k, v in row.items()} for row in rows]
+    return [Guarded(row, q.model, banned) for row in out] if banned else out
+
+
 def pluck(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
