@@ -2,9 +2,10 @@
 
 Documents become token ids; only documents above the sequence length are cut. Pieces of full length are sequences of
 their own. The others are dealt at random over shards of a bounded number of pieces. For each shard some islands breed
-packings of its pieces: crossover puts whole well-filled bins of one parent into the other, removes the bins that now hold
-a piece twice, and best-fits the displaced pieces, longest first. After each epoch an island's elite migrates to the next
-island of the shard, through a shuffle; at the end the packing with the fewest bins stays.
+packings of its pieces, founded by best fit in random orders: crossover puts whole well-filled bins of one parent into the
+other, removes the bins that now hold a piece twice, dissolves some of the emptiest, and best-fits the displaced pieces,
+longest first. After each epoch an island's elite migrates to the next island of the shard, through a shuffle; at the end the
+packing with the fewest bins stays. Shards whose best packing is as small as the sum of lengths allows breed no further.
 
 Defined results: null and empty texts count as empty and make a piece of the end token alone; ids may be null or repeated,
 each row is packed on its own; an empty table gives an empty result; more columns pass by.
@@ -16,6 +17,7 @@ import os
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,9 +30,9 @@ from .common import cut, table, tidy
 
 LENGTH, END = 2048, 0
 #: Pieces of a shard, about; islands of a shard; epochs; packings on an island; children an epoch.
-SHARD, ISLANDS, EPOCHS, PACKINGS, CHILDREN = 4096, 2, 2, 4, 8
-#: Words and stems whose ids a worker remembers, in each of two generations. A word is soon put together from its stem.
-WORDS, STEMS = 400_000, 400_000
+SHARD, ISLANDS, EPOCHS, PACKINGS, CHILDREN = 8192, 4, 4, 2, 3
+#: Pieces and words whose ids a worker remembers, in each of two generations.
+PIECES_KEPT, WORDS_KEPT = 500_000, 50_000
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -42,72 +44,71 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Recent:
-    """A dictionary of bounded size that forgets what was not asked for lately: a young and an old generation."""
+#: The tokenizer's own rule of pieces for texts of Latin-1 characters: contractions, letters, single numbers, other runs.
+_LATIN = [chr(x) for x in range(256)]
+_LETTER = "".join(c for c in _LATIN if c.isalpha())
+_NUMBER = "".join(c for c in _LATIN if c.isnumeric() and not c.isalpha())
+_WHITE = "\x09-\x0d\x20\x85\xa0"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_WHITE}{_LETTER}{_NUMBER}]+")
+#: The characters that stand for bytes in a byte-level vocabulary (fixed values): printable ones for themselves, the others from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {x: chr(x) for x in _SELF} | {x: chr(256 + k) for k, x in enumerate(y for y in range(256) if y not in _SELF)}
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
 
-    def age(self) -> None:
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+class Ids(dict):
+    """The ids of pieces or words as bytes, found by `learn` when they are asked for first.
+
+    Bounded: of two generations of `size` entries, the old one is forgotten when the young one is full.
+    """
+
+    def __init__(self, learn, size: int):
+        super().__init__()
+        self.learn, self.size, self.old = learn, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.learn(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
 
 
 class Encoder:
-    """Token ids of whole texts. The tokenizer drops white space and never joins words across it, so words repeat.
+    """Token ids of whole texts, by the tokenizer's model piece by piece, as pieces repeat.
 
-    Nor does it join a letter with a full stop or comma behind it, or tell capitals from small letters; words that differ
-    only so are encoded once. (Beyond Latin letters, lower case can depend on more than the letter; those stay as they are.)
+    The tokenizer makes small letters, cuts a text into pieces by its rule and encodes each piece alone. A text of Latin-1
+    characters, where small letters and the composed form depend on one character only, is cut here by the same rule, and the
+    tokenizer's model gets only pieces that are not remembered. Other texts, and texts with what may be a special token, are cut
+    at white space, which the tokenizer drops and never joins words across, and whole words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.words, self.stems = _tokenizer(path), Recent(WORDS), Recent(STEMS)
-        self.many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.many(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
-        stop = word[-1:] if word[-1:] in ".," and word[-2:-1].isalpha() and word[-2] < "\u0130" else ""
-        stem = word[: len(word) - len(stop)]
-        return (stem.lower() if stem and max(stem) < "\u0130" and "<|" not in stem else stem), stop
-
-    def _learn(self, words: list[str]) -> None:
-        young, old, split, new = self.words.young, self.words.old, {}, {}
-        stems, old_stems = self.stems.young, self.stems.old
-        for w in words:
-            if w in young or w in split:
-                continue
-            if (known := old.get(w)) is not None:
-                young[w] = known
-                continue
-            stem, stop = split[w] = self._stem(w)
-            if stem not in stems:
-                if (known := old_stems.get(stem)) is not None:
-                    stems[stem] = known
-                else:
-                    new[stem] = None
-        unknown = list(new)
-        for i in range(0, len(unknown), 10_000):
-            part = unknown[i : i + 10_000]
-            stems.update(zip(part, self._encode(part), strict=True))
-        for w, (stem, stop) in split.items():
-            young[w] = stems[stem] + self.stops[stop] if stop else stems[stem]
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.pieces, self.words = Ids(self._piece, PIECES_KEPT), Ids(self._word, WORDS_KEPT)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = _BLANK.split(text) if not text.isprintable() else text.split(" ")
-        known = self.words.young
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            self._learn(words)
-        out = b"".join([known[w] for w in words])
-        self.words.age()
-        self.stems.age()
-        return out
+        small = text.isascii()
+        if not small:
+            try:
+                text.encode("latin-1")
+                small = True
+            except UnicodeEncodeError:
+                pass
+        if small and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, filter(None, _BLANK.split(text))))
 
 
 @cache
@@ -139,107 +140,97 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokenized, PIECES)
 
 
-class Bins:
-    """Bins with their free room; best fit finds the least room that is enough in a bit set of the rooms that occur."""
-
-    def __init__(self, size: int):
-        self.size, self.items, self.room, self.by_room, self.mask = size, [], [], [[] for _ in range(size + 1)], 0
-
-    def open(self, items: list[int], room: int) -> None:
-        self.items.append(items)
-        self.room.append(room)
-        self.by_room[room].append(len(self.items) - 1)
-        self.mask |= 1 << room
-
-    def fit(self, item: int, need: int) -> None:
-        above = self.mask >> need
-        if not above:
-            return self.open([item], self.size - need)
-        room = need + (above & -above).bit_length() - 1
-        at = self.by_room[room]
-        k = at.pop()
-        if not at:
-            self.mask &= ~(1 << room)
-        self.items[k].append(item)
-        left = self.room[k] = room - need
-        self.by_room[left].append(k)
-        self.mask |= 1 << left
-
-
-def best_fit(lens: list[int], order: list[int], size: int, kept: list[list[int]] = ()) -> list[list[int]]:
-    """The kept bins and, best-fitted into them and new ones, the pieces in the given order."""
-    bins = Bins(size)
-    for b in kept:
-        bins.open(list(b), size - sum([lens[i] for i in b]))
+#: A bin: its free room and its pieces. A packing: its bins.
+Bin = tuple[int, list[int]]
+
+
+def best_fit(lens: list[int], order: list[int], size: int, kept: list[Bin] = ()) -> list[Bin]:
+    """The kept bins and, best-fitted into them and new ones, the pieces in the given order.
+
+    Best fit finds the least room that is enough in a bit set of the rooms that occur.
+    """
+    items, by_room, mask = [], [[] for _ in range(size + 1)], 0
+    for room, held in kept:
+        by_room[room].append(len(items))
+        mask |= 1 << room
+        items.append(held.copy())
     for i in order:
-        bins.fit(i, lens[i])
-    return bins.items
+        need = lens[i]
+        above = mask >> need
+        if above:
+            room = need + (above & -above).bit_length() - 1
+            at = by_room[room]
+            k = at.pop()
+            if not at:
+                mask ^= 1 << room
+            items[k].append(i)
+        else:
+            room, k = size, len(items)
+            items.append([i])
+        room -= need
+        by_room[room].append(k)
+        mask |= 1 << room
+    return [(room, items[k]) for room, held in enumerate(by_room) for k in held]
 
 
-def worth(lens: list[int], packing: list[list[int]], size: int) -> tuple[int, float]:
+def worth(packing: list[Bin], size: int) -> tuple[int, float]:
     """Fewer bins first; among equals, fuller full bins (Falkenauer's squared fill)."""
-    return len(packing), -sum([(sum([lens[i] for i in b]) / size) ** 2 for b in packing])
-
-
-def cross(lens: list[int], one: list[list[int]], two: list[list[int]], size: int, rng: random.Random) -> list[list[int]]:
-    """Puts well-filled bins of two into one; bins of one that share a piece with them dissolve."""
-    room = [size - sum([lens[i] for i in b]) for b in two]
-    good = sorted(range(len(two)), key=room.__getitem__)
-    good = good[: max(1, rng.randrange(len(good) // 8, len(good) // 2 + 1))]
-    brought = [two[k] for k in rng.sample(good, max(1, len(good) // 2))]
-    new = {i for b in brought for i in b}
-    kept, loose = list(brought), []
-    worst = max((size - sum([lens[i] for i in b]) for b in one), default=0)
-    for b in one:
-        if new.isdisjoint(b):
-            # the emptiest bins dissolve too, so that their pieces may close other bins
-            if size - sum([lens[i] for i in b]) > worst // 2 and rng.random() < 0.5:
-                loose += b
-            else:
-                kept.append(b)
+    return len(packing), -sum([(1 - room / size) ** 2 for room, _ in packing])
+
+
+def cross(lens: list[int], one: list[Bin], two: list[Bin], size: int, rng: random.Random) -> list[Bin]:
+    """Puts well-filled bins of two into one; bins of one that share a piece with them dissolve, as do its emptier ones.
+
+    Bins of a packing stand in the order of their room.
+    """
+    good = two[: 1 + int(len(two) * rng.uniform(0.1, 0.6))]
+    kept = rng.sample(good, 1 + int((len(good) - 1) * rng.uniform(0.3, 1)))
+    new = {i for _, b in kept for i in b}
+    # the emptier bins dissolve too, so that their pieces may close other bins
+    most, loose = one[int((len(one) - 1) * rng.uniform(0.1, 1))][0], []
+    for room, b in one:
+        if room <= most and new.isdisjoint(b):
+            kept.append((room, b))
         else:
             loose += [i for i in b if i not in new]
     loose.sort(key=lambda i: (-lens[i], i))
     return best_fit(lens, loose, size, kept)
 
 
-def evolve(lens: list[int], packings: list[list[list[int]]], size: int, children: int, most: int, rng: random.Random) -> list[list[list[int]]]:
+def evolve(lens: list[int], packings: list[list[Bin]], size: int, children: int, most: int, rng: random.Random) -> list[list[Bin]]:
     """An epoch on one island: the packings that stay, the best first. Stops early at the lower bound."""
     bound = -(-sum(lens) // size)
-    ranked = sorted(((worth(lens, p, size), k, p) for k, p in enumerate(packings)), key=lambda x: x[:2])
+    ranked = sorted(((worth(p, size), k, p) for k, p in enumerate(packings)), key=lambda x: x[:2])
     serial = len(ranked)
     for _ in range(children):
         if ranked[0][0][0] <= bound or len(ranked) < 2:
             break
-        a, b = sorted(rng.sample(range(len(ranked)), 2))
+        a, b = rng.sample(range(len(ranked)), 2)
         child = cross(lens, ranked[a][2], ranked[b][2], size, rng)
-        score = worth(lens, child, size)
+        score = worth(child, size)
         if all(score != x[0] for x in ranked):
             ranked = sorted([*ranked, (score, serial, child)], key=lambda x: x[:2])[:most]
             serial += 1
     return [p for _, _, p in ranked]
 
 
-def first_packings(lens: list[int], size: int, n: int, rng: random.Random) -> list[list[list[int]]]:
-    """Best fit decreasing, and the same with lengths blurred more and more."""
-    out = []
-    for k in range(n):
-        blur = [x * (1 + 0.1 * k * rng.random()) for x in lens] if k else lens
-        out.append(best_fit(lens, sorted(range(len(lens)), key=lambda i: (-blur[i], i)), size))
-    return out
+def first_packings(lens: list[int], size: int, n: int, rng: random.Random) -> list[list[Bin]]:
+    """Best fit in n random orders."""
+    return [best_fit(lens, rng.sample(range(len(lens)), len(lens)), size) for _ in range(n)]
 
 
-def _flat(packing: list[list[int]], n: int) -> bytes:
+def _flat(packing: list[Bin], n: int) -> bytes:
     bins = np.zeros(n, dtype="<i4")
-    for k, b in enumerate(packing):
+    for k, (_, b) in enumerate(packing):
         bins[b] = k
     return bins.tobytes()
 
 
-def _bins(flat: bytes) -> list[list[int]]:
+def _bins(flat: bytes, lens: np.ndarray, size: int) -> list[Bin]:
     own = np.frombuffer(flat, dtype="<i4")
     order = np.argsort(own, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(own[order])) + 1)]
+    room = size - np.bincount(own, lens).astype(int)
+    return list(zip(room.tolist(), (x.tolist() for x in np.split(order, np.flatnonzero(np.diff(own[order])) + 1)), strict=True))
 
 
 STATE = "shard long, island int, pids binary, lens binary, packings array<binary>, bins int"
@@ -252,8 +243,8 @@ def _epoch(size: int, children: int, most: int, epoch: int):
         for batch in batches:
             for row in batch.to_pylist():
                 rng = random.Random(f"{row['shard']} {row['island']} {epoch}")
-                lens = np.frombuffer(row["lens"], dtype="<i4").tolist()
-                old = [_bins(p) for p in row["packings"]]
+                own = np.frombuffer(row["lens"], dtype="<i4")
+                lens, old = own.tolist(), [_bins(p, own, size) for p in row["packings"]]
                 packings = evolve(lens, old or first_packings(lens, size, most, rng), size, children, most, rng)
                 flat = [_flat(p, len(lens)) for p in packings]
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([row["pids"]], pa.binary()), pa.array([row["lens"]], pa.binary()), pa.array([flat], pa.list_(pa.binary())), pa.array([len(packings[0])], pa.int32())], names=["shard", "island", "pids", "lens", "packings", "bins"])

@@ -264,17 +264,43 @@ def test_packing(spark, tokenizer):
     assert packing.pack_documents(frame(spark, rows).limit(0), packing.word_tokenizer()).count() == 0
 
 
+def test_encoder_on_odd_texts(tokenizer):
+    rng, encode = random.Random(12), packing.Encoder(packing.word_tokenizer())
+    encode.pieces.size = encode.words.size = 50  # forgets all the time
+    parts = [*map(chr, range(1, 256)), "'s", "'T", "'re", "\u0130", "\u03a3", "\u03c2", "e\u0301", "<|endoftext|>", "<|", "\u4e2d", " ", "  ", "a", "b", "123", "\xb2", "\xba", "\xb5"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(text)
+
+
 def test_genetic_packing():
     rng = random.Random(7)
     lens = [rng.randrange(500, 1100) for _ in range(300)]
     first = packing.first_packings(lens, 2048, 4, rng)
     last = packing.evolve(lens, first, 2048, 20, 4, rng)
-    for p in [*first, *last]:
-        assert sorted(i for b in p for i in b) == list(range(300)) and all(sum(lens[i] for i in b) <= 2048 for b in p)
-    assert packing.worth(lens, last[0], 2048) <= packing.worth(lens, first[0], 2048)
     child = packing.cross(lens, first[0], first[2], 2048, rng)
-    assert sorted(i for b in child for i in b) == list(range(300))
-    assert packing._bins(packing._flat(first[0], 300)) == [sorted(b) for b in first[0]]
+    for p in [*first, *last, child]:
+        assert sorted(i for _, b in p for i in b) == list(range(300)) and all(room == 2048 - sum(lens[i] for i in b) >= 0 for room, b in p)
+    assert packing.worth(last[0], 2048) < min(packing.worth(p, 2048) for p in first)
+    assert packing._bins(packing._flat(first[0], 300), np.array(lens), 2048) == [(room, sorted(b)) for room, b in first[0]]
+
+
+def test_packing_beats_best_fit_decreasing(spark):
+    """Triples that fill a sequence each: best fit decreasing, which pairs the longest pieces wrongly, needs more."""
+    rng, lens = random.Random(13), []
+    for _ in range(60):
+        a = rng.randint(780, 1000)
+        b = rng.randint(500, (2048 - a) // 2 - 1)
+        lens += [a, b, 2048 - a - b]
+    decreasing = packing.best_fit(lens, sorted(range(len(lens)), key=lambda i: -lens[i]), 2048)
+    parts = spark.createDataFrame(list(enumerate(lens)), "pid long, length long")
+    got = packing.pack(parts).collect()
+    assert len(got) == len(lens)
+    used = Counter()
+    for r in got:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 2048
+    assert 60 <= len(used) < len(decreasing)
 
 
 # personal data
