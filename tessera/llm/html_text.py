@@ -2,13 +2,19 @@
 
 A page's token stream becomes a tree of labels (tag with class, id or role) and text slots. Pages of one host are aligned
 one after another: labels that match are aligned further below, labels that don't become optional, neighbours with the
-same label (or the same sequence of labels) become one repeated group, and text that differs between pages is a slot
-while text that never does belongs to the template. The result, a host's wrapper, is an expression of sequences, optional
-and repeated groups only. The wrapper's content region is chosen once per host: marked articles (or else main elements) if
-they hold most of the slots' unlinked text on the pages that have them, and otherwise the deepest group that still holds most
-of it. Each page is then read along its wrapper, without the template's text; a page on which no content region of the wrapper
-occurs is its own host. Text is the template's if all that stands on its path is the same on every page with that path, and
-at least five pages that differ elsewhere have it; text of a repeated group whose other members vary is a slot.
+same label (or the same sequence of up to four labels) become one repeated group, and text that differs between pages is a
+slot while text that never does belongs to the template. The result, a host's wrapper, is an expression of sequences,
+optional and repeated groups only.
+
+The wrapper alone says what is read. It is walked from its root to the groups that hold the content: down to the child that
+holds most of the varying unlinked text of its parent, or to several optional children that do so together, as layouts do that
+take each other's place; down to no single member of a repeated group, and to no list, paragraph or other element that only holds text. Article and
+main elements and names like "content" are a hint (half of the text is enough then); what is named like furniture has no
+weight. Inside the groups found, template text and elements of furniture go; names of furniture only count there for
+containers, and those with other meanings only where no such group was found at all, so that the text's own paragraphs
+stay whatever they are called. A page on which no content group of its host occurs is its own host. Text is the template's if
+all that stands on its path is the same on every page with that path, and at least five pages that differ elsewhere have it;
+text of a repeated group whose other members vary is a slot.
 
 Wrappers merge in any order, so tasks infer partial ones, which are merged in two levels; a hot host is never in one task
 with all of its pages. All pages take part.
@@ -26,6 +32,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
@@ -49,7 +56,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 P_BORDERS = frozenset("table td th caption button object body html".split())
-#: Never main text: elements, roles, and words in class or id.
+#: Never main text: elements and roles. Words in class or id have no weight when content is looked for.
 FURNITURE = frozenset("head nav header footer aside form script style noscript template iframe button select textarea menu svg dialog canvas object video audio map fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NAMED = re.compile(
@@ -57,6 +64,14 @@ NAMED = re.compile(
     r"alert|comment|comments|reply|replies|respond|disqus|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|signup|popup|modal|overlay|login|search|widget|copyright|legal|skip|pagination|pager|toolbar|tags|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Those of them that mean furniture even inside the content, on the containers below.
+SURE = re.compile(
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|sidebar|ad|ads|adv|advert|adverts|advertisement|advertising|sponsored|promo|cookie|cookies|consent|gdpr|comment|comments|respond|disqus|sharing|breadcrumb|breadcrumbs|newsletter|subscribe|signup|popup|modal|overlay|login|pagination|pager|toolbar)(?:$|[\s_-])",
+    re.I,
+)
+CONTAINERS = frozenset("div section ul ol table center details".split())
+#: Parts of a text, never all of it.
+PARTS_OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre figure figcaption address".split())
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^"'<>]|"[^"]*"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|<""", re.S)
@@ -80,21 +95,33 @@ def label(tag: str, attributes: str) -> str:
     return tag + "".join(f" {k}={named[k]}" for k in ("role", "id", "class") if named.get(k))
 
 
-def furniture(name: str) -> bool:
+@cache
+def furniture(name: str) -> int:
+    """0: none; 1: named like some furniture; 2: a container named like sure furniture; 3: by its element or role."""
     tag, _, rest = name.partition(" ")
     if tag in FURNITURE:
-        return True
+        return 3
     if not rest or tag in ("body", "html"):
-        return False
+        return 0
     role = re.search(r"role=(\S+)", rest)
-    return bool(role and role[1] in ROLES) or bool(NAMED.search(re.sub(r"(?:^| )(?:role|id|class)=", " ", rest)))
+    if role and role[1] in ROLES:
+        return 3
+    words = re.sub(r"(?:^| )(?:role|id|class)=", " ", rest)
+    return 2 if tag in CONTAINERS and SURE.search(words) else 1 if NAMED.search(words) else 0
+
+
+@cache
+def hinted(name: str) -> bool:
+    """Whether an element says of itself that it holds the content."""
+    tag, _, rest = name.partition(" ")
+    return tag in ("article", "main") or "role=main" in rest or "role=article" in rest or bool(tag in CONTAINERS and ARTICLE.search(re.sub(r"(?:^| )(?:role|id|class)=", " ", rest)))
 
 
 def blocks(html: str) -> tuple[list[Block], set[tuple[tuple[str, ...], str]]]:
     """The page's text blocks in order, and its (path, label) pairs, which tell its structure whatever repeats."""
     tags: list[str] = []
     names: list[str] = []  # of the open elements that make blocks
-    below: list[str] = []  # for each of them, the first furniture at or above it that is too deep to have a level
+    below: list[tuple[str, str]] = []  # for each of them, the first furniture and content hint at or above it that are too deep to have a level
     open_tags: Counter = Counter()
     out: list[Block] = []
     seen: set = set()
@@ -102,10 +129,11 @@ def blocks(html: str) -> tuple[list[Block], set[tuple[tuple[str, ...], str]]]:
     linked, links = 0, 0
 
     def path() -> tuple[str, ...]:
-        """Labels from the root; below DEEP levels, only the first piece of furniture or else the innermost label counts."""
+        """Labels from the root; below DEEP levels, only the first content hint and the first furniture or else the innermost label count."""
         if len(names) <= DEEP:
             return tuple(names)
-        return (*names[: DEEP - 1], below[-1] or names[-1])
+        hint = (below[-1][1],) if below[-1][1] else ()
+        return (*names[: DEEP - 2], *hint, below[-1][0] or names[-1])
 
     def flush() -> None:
         nonlocal linked
@@ -189,13 +217,15 @@ def blocks(html: str) -> tuple[list[Block], set[tuple[tuple[str, ...], str]]]:
         block = tag not in INLINE
         if block:
             seen.add((path(), name))
-        elif furniture(name):
+        elif furniture(name) > 1:
             # an inline element that is furniture bounds a block like any other
             flush()
             tag, block = f"{tag}!", True
         if block:
             names.append(name)
-            below.append((below[-1] if below else "") or (name if len(names) >= DEEP and furniture(name) else ""))
+            deep = len(names) >= DEEP - 1
+            first, hint = below[-1] if below else ("", "")
+            below.append((first or (name if deep and furniture(name) > 1 else ""), hint or (name if deep and hinted(name) else "")))
         tags.append(tag)
         open_tags[tag] += 1
         links += tag == "a"
@@ -249,53 +279,45 @@ def folded(node: Node) -> Node:
     return [node[0], node[1], node[2], kids]
 
 
-#: Product of lengths up to which two sequences of labels are aligned as well as possible; longer ones, label by label in order.
-ALIGNED = 250_000
+#: The k-th of a label's occurrences in one sequence is aligned with the (k - BAND)-th to (k + BAND)-th in the other.
+BAND = 8
 
 
 def alignment(x: list[str], y: list[str]) -> list[tuple[int | None, int | None]]:
-    """Pairs of positions in the order of both; a label without a partner stands alone."""
-    head = 0
-    while head < min(len(x), len(y)) and x[head] == y[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    a, b = x[head : len(x) - tail], y[head : len(y) - tail]
-    pairs: list[tuple[int | None, int | None]] = []
-    if len(a) * len(b) <= ALIGNED:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(a) and j < len(b):
-            if a[i] == b[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
+    """Pairs of positions in the order of both, as many as can be; a label without a partner stands alone.
+
+    The longest common subsequence as the longest increasing one among the pairs of equal labels (Hunt and Szymanski), in
+    time of about the length of the sequences, as each position has at most 2 * BAND + 1 partners.
+    """
+    where: dict[str, list[int]] = {}
+    for j, name in enumerate(y):
+        where.setdefault(name, []).append(j)
+    nth: Counter = Counter()
+    ends: list[int] = []  # the smallest end in y of a chain of each length
+    chains: list[tuple] = []  # (i, j, chain before) of these
+    for i, name in enumerate(x):
+        k = nth[name]
+        nth[name] += 1
+        for j in reversed(where.get(name, [])[max(0, k - BAND) : k + BAND + 1]):
+            at = bisect_left(ends, j)
+            chain = (i, j, chains[at - 1] if at else None)
+            if at == len(ends):
+                ends.append(j)
+                chains.append(chain)
             else:
-                j += 1
-    else:
-        where: dict[str, list[int]] = {}
-        for j, label_ in enumerate(b):
-            where.setdefault(label_, []).append(j)
-        j = 0
-        for i, label_ in enumerate(a):
-            spots = where.get(label_, [])
-            k = bisect_left(spots, j)
-            if k < len(spots):
-                pairs.append((i, spots[k]))
-                j = spots[k] + 1
-    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
+                ends[at], chains[at] = j, chain
+    pairs, chain = [], chains[-1] if chains else None
+    while chain:
+        pairs.append(chain[:2])
+        chain = chain[2]
+    out: list[tuple[int | None, int | None]] = []
     i = j = 0
-    for p, q in [*pairs, (len(a), len(b))]:
-        out += [(head + k, None) for k in range(i, p)] + [(None, head + k) for k in range(j, q)]
-        if p < len(a):
-            out.append((head + p, head + q))
+    for p, q in [*reversed(pairs), (len(x), len(y))]:
+        out += [(k, None) for k in range(i, p)] + [(None, k) for k in range(j, q)]
+        if p < len(x):
+            out.append((p, q))
         i, j = p + 1, q + 1
-    return out + [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
+    return out
 
 
 def merged(a: Node, b: Node) -> Node:
@@ -324,15 +346,9 @@ def merged(a: Node, b: Node) -> Node:
 ALIKE = 5
 
 
-def marks(names: tuple[str, ...] | list[str]) -> tuple[int | None, int | None]:
-    """Positions of the first article and of the first main element in a path."""
-    article = next((k for k, x in enumerate(names) if x.split(" ")[0] == "article"), None)
-    return article, next((k for k, x in enumerate(names) if x.split(" ")[0] == "main" or "role=main" in x or "role=article" in x), None)
-
-
 class Wrapper:
     """A host's expression and, for each path of a slot, [the least hashes of its different pages (at most ALIKE), characters,
-    linked characters, hash or None if it varies, unlinked characters on pages with an article, those on pages with a main]."""
+    linked characters, hash or None if it varies]."""
 
     def __init__(self, tree: Node | None = None, slots: dict | None = None):
         self.tree, self.slots, self.shapes = tree, slots or {}, set()
@@ -346,22 +362,20 @@ class Wrapper:
             self.tree = merged(self.tree, tree) if self.tree else tree
         page: dict[tuple[str, ...], list] = {}
         for path, text, linked in found:
-            slot = page.setdefault(path, [[], 0, 0, 0, 0, 0])
+            slot = page.setdefault(path, [[], 0, 0, 0])
             slot[1:4] = slot[1] + len(text), slot[2] + linked, zlib.crc32(text.encode(), slot[3])
         # what furniture says does not make another page
         own = [path for path in page if not any(map(furniture, path))]
         page_hash = zlib.crc32(json.dumps([[path, page[path][3]] for path in own]).encode())
-        marked = [any(k is not None for k in which) for which in zip(*map(marks, own), strict=True)] or [False, False]
         for path, slot in page.items():
             slot[0] = [page_hash]
-            slot[4:] = (max(0, slot[1] - 2 * slot[2]) if m else 0 for m in marked)
             self._slot("\t".join(path), slot)
 
     def _slot(self, path: str, new: list) -> None:
         old = self.slots.get(path)
         if old is not None:
             pages = old[0] if old[0] == new[0] else sorted({*old[0], *new[0]})[:ALIKE]
-            new = [pages, old[1] + new[1], old[2] + new[2], old[3] if old[3] == new[3] else None, old[4] + new[4], old[5] + new[5]]
+            new = [pages, old[1] + new[1], old[2] + new[2], old[3] if old[3] == new[3] else None]
         self.slots[path] = new
 
     def merge(self, other: Wrapper) -> None:
@@ -377,78 +391,85 @@ class Wrapper:
         return cls(*json.loads(text))
 
     def regions(self) -> tuple[list[str], list[str]]:
-        """(paths of content regions, paths of template slots)."""
-        marked: tuple[set[str], set[str]] = (set(), set())
-        inside, total = [0, 0], [0, 0]
-        constant: list[str] = []
-        weight: dict[str, float] = {}
-        for path, (pages, chars, linked, same, *on) in self.slots.items():
+        """(paths of the content groups, paths inside them that are left out)."""
+        weight: dict[str, int] = {}  # varying unlinked characters at or below a path
+        own: dict[str, int] = {}
+        constant = {path for path, (pages, _, _, same) in self.slots.items() if same is not None and len(pages) >= ALIKE}
+        for path, (_, chars, linked, _) in self.slots.items():
             names = path.split("\t") if path else []
-            if any(map(furniture, names)):
+            if path in constant or any(map(furniture, names)):
                 continue
-            first = marks(names)
-            for kind in range(2):
-                if first[kind] is not None:
-                    marked[kind].add("\t".join(names[: first[kind] + 1]))
-            if same is not None and len(pages) >= ALIKE:
-                constant.append(path)
-                continue
-            for kind in range(2):
-                total[kind] += on[kind]
-                inside[kind] += on[kind] if first[kind] is not None else 0
+            own[path] = max(0, chars - 2 * linked)
             for k in range(len(names) + 1):
                 at = "\t".join(names[:k])
-                weight[at] = weight.get(at, 0.0) + max(0, chars - 2 * linked)
-        for kind in range(2):
-            if marked[kind] and 2 * inside[kind] >= total[kind]:
-                return sorted(marked[kind]), constant
-        repeated = self._repeated()
-        at = ""
-        while True:
-            below = [(w, p) for p, w in weight.items() if p != at and (p.rpartition("\t")[0] == at if "\t" in p else at == "") and p]
-            top = max(below, default=(0, ""))
-            named = [(w, p) for w, p in below if ARTICLE.search(p.split("\t")[-1].partition(" ")[2])]
-            if named and max(named)[0] >= 0.5 * weight.get(at, 0):
-                top = max(named)
-            elif top[0] < 0.8 * weight.get(at, 0) or top[1] in repeated:
-                break
-            if not top[1] or not top[0]:
-                break
-            at = top[1]
-        return [at], constant
-
-    def _repeated(self) -> set[str]:
-        out: set[str] = set()
-
-        def walk(node: Node, path: str) -> None:
-            for name, _, many, kids in node[3]:
-                here = path if name in ("()", "#") else f"{path}\t{name}" if path else name
-                if many and name not in ("()", "#"):
-                    out.add(here)
-                walk([name, 1, many, kids], here)
-
-        if self.tree:
-            walk(self.tree, "")
-        return out
-
-
-def text_of(found: list[Block], regions: list[str], constant: list[str]) -> str | None:
-    """The page's blocks inside the regions, or None if no region occurs on the page."""
-    roots, drop, out, hit = [tuple(r.split("\t")) if r else () for r in regions], set(constant), [], False
+                weight[at] = weight.get(at, 0) + own[path]
+        found, left_out = [], []
+
+        def groups(node: Node) -> list[Node]:
+            """A node's children, those of groups of several labels among them, with whether they are optional or repeated."""
+            out = []
+            for k in node[3]:
+                out += [[c[0], min(k[1], c[1]), k[2] or c[2], c[3]] for c in groups(k)] if k[0] == "()" else [k] if k[0] != "#" else []
+            return out
+
+        def under(path: str, name: str) -> str:
+            return f"{path}\t{name}" if path else name
+
+        def content(node: Node, path: str) -> list[tuple[Node, str]]:
+            """The groups below a node that hold its content, or the node itself."""
+            kids: dict[str, list[Node]] = {}
+            for k in groups(node):
+                kids.setdefault(under(path, k[0]), []).append(k)
+            # nothing below an element whose own text is most of it
+            total = weight.get(path, 0)
+            some = sorted((p for p in kids if weight.get(p, 0) and own.get(p, 0) < 0.5 * weight[p] and kids[p][0][0].partition(" ")[0] not in PARTS_OF_TEXT), key=lambda p: (-weight[p], p))
+            down: list[str] = []
+            if some:
+                top = some[0]
+                repeated = len(kids[top]) > 1 or kids[top][0][2]
+                if hinted(kids[top][0][0]) and weight[top] >= 0.5 * total or not repeated and weight[top] >= 0.8 * total:
+                    down = [top]
+                elif (others := [p for p in some if all(k[1] == 0 for k in kids[p])]) and sum(weight[p] for p in others) >= 0.8 * total:
+                    down = others
+            if not down:
+                return [(node, path)]
+            return [x for p in down for x in content([kids[p][0][0], 1, False, [c for k in kids[p] for c in k[3]]], p)]
+
+        def furnish(node: Node, path: str, least: int) -> None:
+            for k in groups(node):
+                at = under(path, k[0])
+                if furniture(k[0]) >= least:
+                    left_out.append(at)
+                else:
+                    furnish(k, at, least)
+
+        if self.tree is None:
+            return [""], sorted(constant)
+        for node, path in content(self.tree, ""):
+            found.append(path)
+            narrowed = path.rpartition("\t")[2].partition(" ")[0] not in ("", "html", "body")
+            if not any(furniture(x) > 1 for x in path.split("\t")):
+                furnish(node, path, 2 if narrowed else 1)
+        return sorted(found), sorted({*left_out, *constant})
+
+
+def text_of(found: list[Block], regions: list[str], left_out: list[str]) -> str | None:
+    """The page's blocks inside the regions without what is left out of them, or None if no region occurs on the page."""
+    roots, drop, known, out = [tuple(r.split("\t")) if r else () for r in regions], {tuple(r.split("\t")) for r in left_out}, {}, []
     for path, text, _ in found:
-        root = next((r for r in roots if path[: len(r)] == r), None)
-        if root is None:
-            continue
-        hit = True
-        if not any(furniture(x) for x in path) and "\t".join(path) not in drop:
+        inside = known.get(path)
+        if inside is None:
+            # 0: in no region, 1: left out, 2: content
+            inside = known[path] = 0 if not any(path[: len(r)] == r for r in roots) else 1 if any(path[:k] in drop for k in range(1, len(path) + 1)) else 2
+        if inside == 2:
             out.append(text)
-    return "\n".join(out) if hit else None
+    return "\n".join(out) if any(known.values()) or not found else None
 
 
-def extract(html: str, regions: list[str] | None = None, constant: list[str] | None = None) -> str:
+def extract(html: str, regions: list[str] | None = None, left_out: list[str] | None = None) -> str:
     """Main text of a page along its host's wrapper; without one, or if the wrapper fails on it, along its own."""
     found, seen = blocks(html)
-    text = text_of(found, regions, constant or []) if regions else None
+    text = text_of(found, regions, left_out or []) if regions else None
     if text is None:
         own = Wrapper()
         own.add(found, seen)
@@ -461,7 +482,7 @@ HELD, PARTS = 2_000, 16
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, regions, constant) from (host, html)."""
+    """(host, regions, left_out) from (host, html)."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
@@ -488,12 +509,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([one(part).dumps()], pa.string())})
 
     def final(key: tuple, part: pa.Table) -> pa.Table:
-        regions, constant = one(part).regions()
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "regions": pa.array([regions], pa.list_(pa.string())), "constant": pa.array([constant], pa.list_(pa.string()))})
+        regions, left_out = one(part).regions()
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "regions": pa.array([regions], pa.list_(pa.string())), "left_out": pa.array([left_out], pa.list_(pa.string()))})
 
     first = pages.select("host", "html").mapInArrow(partial, "host string, wrapper string")
     parts = first.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)).cast("int")).groupBy("host", "part").applyInArrow(some, "host string, wrapper string")
-    return parts.groupBy("host").applyInArrow(final, "host string, regions array<string>, constant array<string>")
+    return parts.groupBy("host").applyInArrow(final, "host string, regions array<string>, left_out array<string>")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -514,7 +535,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = [extract(h.as_py() or "", r.as_py(), c.as_py()) for h, r, c in zip(*[batch.column(k) for k in (3, 4, 5)], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["page_id", "url", "host", "text"])
 
-    return both.select("page_id", "url", "host", "html", "regions", "constant").mapInArrow(read, "page_id long, url string, host string, text string")
+    return both.select("page_id", "url", "host", "html", "regions", "left_out").mapInArrow(read, "page_id long, url string, host string, text string")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -538,6 +538,71 @@ def test_pages_wrapper_on_marked_hosts(spark):
     assert all(got[400 + k] == f"T{k}\nOwn text {k} in main." for k in range(3))
 
 
+def test_pages_of_random_templates(spark, tmp_path):
+    """Pages are put together from blocks that are known to be content or not; some of the content is named like furniture."""
+    from html import escape
+
+    rng, rows, want = random.Random(15), [], {}
+    sentence = lambda n: " ".join(words(rng, n, 5000)).capitalize() + rng.choice([".", " &", " <b>", "!"])
+    for host in range(12):
+        shells = rng.sample(["div class=wrap", "section", "div id=page", "main"], rng.randrange(3))
+        box = rng.choice(["article", "div class=c7", "div class='entry'", "td"])
+        menu, foot = [sentence(1) for _ in range(5)], sentence(6)
+        for page in range(rng.choice([1, 7, 12])):
+            body, out = [f"<h1>{escape(title := sentence(5))}</h1>"], [title]
+            for _ in range(rng.randrange(3, 9)):
+                texts = [sentence(rng.randrange(8, 30)) for _ in range(3)]
+                kind = rng.randrange(6)
+                if kind < 3:
+                    body.append(f"<p{rng.choice(['', '', ' class=legal', ' class=\"related work\"'])}>{escape(texts[0])}</p>")
+                    out.append(texts[0])
+                elif kind == 3:
+                    body.append("<ul>" + "".join(f"<li>{escape(x)}" for x in texts) + "</ul>")
+                    out += texts
+                elif kind == 4:
+                    body.append(f"<div class='side tags'><p>{escape(texts[0])}</div>")
+                    out.append(texts[0])
+                else:
+                    body.append(f"<aside>{escape(texts[0])}</aside><div class=comments><p>{escape(texts[1])}</div>")
+            inner = f"<{box}>{''.join(body)}</{box.split()[0]}>"
+            inner = f"<table><tr>{inner}</table>" if box == "td" else inner
+            ad = f"<div class=ad>{escape(sentence(9))}</div>"
+            html = "".join(f"<{x}>" for x in shells) + ad + inner + "".join(f"</{x.split()[0]}>" for x in reversed(shells))
+            nav = "<nav>" + "".join(f"<a href=/>{escape(x)}</a> " for x in menu) + "</nav>"
+            key = len(rows)
+            rows.append((key, f"http://h{host}.example/{page}", f"<html><body>{nav}{html}<footer>{escape(foot)}</footer><div class=cookie>{escape(sentence(3))}</div>"))
+            want[key] = "\n".join(out)
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.op4_html_text(spark, str(tmp_path)).collect()}
+    assert {k: got[k][0] for k in want} == want
+    assert all(n == len(text) for text, n in got.values())
+
+
+def test_alignment_is_longest():
+    rng = random.Random(16)
+    for _ in range(200):
+        x, y = ([rng.choice("abcde") for _ in range(rng.randrange(9))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        pairs = html_text.alignment(x, y)
+        assert [i for i, _ in pairs if i is not None] == list(range(len(x))) and [j for _, j in pairs if j is not None] == list(range(len(y)))
+        both = [(i, j) for i, j in pairs if i is not None and j is not None]
+        assert all(x[i] == y[j] for i, j in both) and len(both) == best[-1][-1]
+    html_text.alignment([str(k % 7) for k in range(20_000)], [str(k % 5) for k in range(20_000)])
+
+
+def test_only_the_wrapper_finds_content():
+    pages = [html_text.blocks(f"<body><nav>m</nav><div>{'Text of its own, and long. ' * 3}{k}<p>More {k}</div><div class=ad>Buy {k}</div>") for k in range(6)]
+    whole = html_text.Wrapper()
+    for p in pages:
+        whole.add(*p)
+    none = html_text.Wrapper(None, whole.slots)
+    for found, _ in pages:
+        assert "Buy" not in html_text.text_of(found, *whole.regions()) and "Buy" in html_text.text_of(found, *none.regions())
+
+
 def test_wrapper_is_a_union_free_expression():
     w = html_text.Wrapper()
     for html in ("<ul><li>a<li>b</ul><p>x", "<ul><li>a</ul><h2>t</h2><p>x<p>y", "<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x"):
