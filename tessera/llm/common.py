@@ -16,16 +16,22 @@ from pyspark.sql import functions as F
 #: What the contracts call a word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only when it was counted to have at most this many (narrow) rows.
-BROADCAST_ROWS = 50_000
+#: A side of a join is broadcast only when its counted rows take at most so many bytes; rows of 160 bytes, if nothing else is said.
+BROADCAST_BYTES, ROW_BYTES = 8_000_000, 160
+BROADCAST_ROWS = BROADCAST_BYTES // ROW_BYTES
+#: Rows of one key that meet the key's own row in one task.
+GROUP_ROWS = 2_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers started from here import this package wherever the session was started."""
+    """Lets Python workers started from here import this package wherever the session was started, and takes smaller Arrow batches.
+
+    Both are settings of the session, as Spark has none for an operation: its folder is added to the workers' path, and batches are
+    cut from Spark's 10,000 rows to 2,000, as texts are long; a session that sets another number keeps it.
+    """
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    # Texts are long: smaller batches than Spark's 10,000 rows, unless the session says otherwise.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -36,12 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a session without one (a local test) gets its own."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a local session without one (a test) gets its own."""
     ship(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -66,9 +74,39 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few enough; otherwise Spark shuffles and may split skewed keys."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, width: int = ROW_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows, of `width` bytes each at most, are few enough; otherwise Spark shuffles."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(*columns: Column) -> Column:
+    """16 bytes that tell rows apart by these columns: two 64-bit hashes, the second of them started from another seed."""
+    half = lambda h: F.lpad(F.hex(h), 16, "0")
+    return F.unhex(F.concat(half(F.xxhash64(*columns)), half(F.xxhash64(F.lit(7), *columns))))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined to groups, which has one row for each key and the number of rows of the key in `count` (dropped).
+
+    Rows of a crowded key are dealt over parts, each of which gets the key's row. rows must be stable (cut).
+    """
+    hot = cut(groups.where(F.col(count) > GROUP_ROWS).select(key, F.ceil(F.col(count) / GROUP_ROWS).cast("int").alias("__parts")))
+    n = hot.count()
+    if not n:
+        return rows.join(groups.drop(count), key, how)
+    parts = F.greatest(F.lit(1), F.ceil(F.col(count) / GROUP_ROWS).cast("int"))
+    dealt = rows.withColumn("__nth", F.monotonically_increasing_id()).join(small(hot, n, 32), key, "left")
+    dealt = dealt.withColumn("__part", F.pmod("__nth", F.coalesce("__parts", F.lit(1))).cast("int")).drop("__nth", "__parts")
+    spread = groups.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(count)
+    return dealt.join(spread, [key, "__part"], how).drop("__part")
 
 
 def dense_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, dense_index, remove, small, table, tidy, written
+from .common import components, cut, dense_index, fresh, join_groups, remove, row_key, small, table, tidy, written
 
 WORDS, PERCENT = 3, 90
 #: Hash buckets of the token counts (a table of fixed size); the longest l; cost of verifying one candidate, in postings for
@@ -83,6 +83,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _digest(tokens: np.ndarray) -> bytes:
+    """What tells sets apart: 128 bits of a hash of the sorted tokens."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
 def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
     """((id, key, s, n), token counts by bucket) from (id, text, key): s is a hash of the whole set."""
     slices = 64
@@ -96,19 +101,19 @@ def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame
                 counts += np.bincount(_bucket(tokens, buckets), minlength=buckets) if len(tokens) > buckets // 8 else 0
                 if len(tokens) <= buckets // 8:
                     np.add.at(counts, _bucket(tokens, buckets), 1)
-                s.append(xxhash.xxh64_intdigest(tokens.tobytes()))
+                s.append(_digest(tokens))
                 n.append(len(tokens))
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _signed(np.array(s, dtype=np.uint64)), pa.array(n, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         parts = counts.reshape(slices, -1)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(slices, pa.int64())] * 4, pa.array(range(slices), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(slices, pa.int64()), *[pa.nulls(slices, pa.binary())] * 2, pa.nulls(slices, pa.int64()), pa.array(range(slices), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary())], names=names)
         tidy()
 
     def added(key: tuple, part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), dtype="<i8") for x in part.column("counts"))
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    both = cut(docs.mapInArrow(run, "id long, key long, s long, n long, slice int, counts binary"))
+    both = cut(docs.mapInArrow(run, "id long, key binary, s binary, n long, slice int, counts binary"))
     rows = both.where(F.col("slice").isNotNull()).select("slice", "counts").groupBy("slice").applyInArrow(added, "slice int, counts binary").collect()  # BUCKETS numbers
     total = np.zeros((slices, buckets // slices), dtype=np.int64)
     for r in rows:
@@ -118,9 +123,9 @@ def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(id, n_shingles, component_id, set_id) for every row; how: words, percent, longest, block."""
-    labelled = _labelled(docs, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), id_col, text_col, **how)
-    names = labelled.groupBy("c").agg(F.min("id").alias("component_id"))
-    return labelled.join(names, "c").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("s").alias("set_id"))
+    labelled = cut(_labelled(docs, row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")), id_col, text_col, **how).select("id", "s", "n", "c"))
+    names = labelled.groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    return join_groups(labelled, names, "c", "rows").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("s").alias("set_id"))
 
 
 def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
@@ -142,13 +147,13 @@ def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: i
                 length = min(len(tokens), len(tokens) - need(len(tokens), percent) + longest)
                 count = seen[_bucket(tokens, BUCKETS)]
                 first = np.lexsort((tokens, count))[:length]
-                s.append(xxhash.xxh64_intdigest(tokens.tobytes()))
+                s.append(_digest(tokens))
                 n.append(len(tokens))
                 at.append(tokens[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([_signed(np.array(s, dtype=np.uint64)), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64()))], names=["s", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64()))], names=["s", "n", "tokens"])
         tidy()
 
-    sets = texts.select("text").mapInArrow(prefixes, "s long, n long, tokens array<long>").dropDuplicates(["s"])
+    sets = texts.select("text").mapInArrow(prefixes, "s binary, n long, tokens array<long>").dropDuplicates(["s"])
     over = F.col("pos") - (F.col("n") - F.ceil(F.col("n") * percent / 100)) + 1
     posted, place = written(sets.select("s", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "s", F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), over).cast("int").alias("level")))
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -173,8 +178,10 @@ def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: i
             yield from _probe(batch, percent)
 
     alone = chunks.where(F.col("df") <= CHUNK).select(*fields("x"), *fields("x", "o_")[:3])
-    crowded = cut(chunks.where(F.col("df") > CHUNK).select("token", "x"))
-    met = crowded.join(crowded.select("token", F.col("x").alias("y")), "token").select(*fields("x"), *fields("y", "o_")[:3])
+    # each chunk of a crowded list goes to each of the list's chunks, and one task has one of them and all that come to it
+    crowded = cut(chunks.where(F.col("df") > CHUNK).select("token", "part", "df", "x"))
+    sent = crowded.select("token", F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / CHUNK).cast("int") - 1)).alias("part"), "x")
+    met = sent.join(crowded.select("token", "part", F.col("x").alias("y")), ["token", "part"]).select(*fields("x"), *fields("y", "o_")[:3])
     found = alone.union(met).mapInArrow(probed, "r long, l int, other array<long>")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,22 +220,22 @@ def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: i
     used = numbered.join(needs.select("idx").distinct(), "idx").select("s", "idx")
     one = cut(member.groupBy("s").agg(F.min("key").alias("key")).join(used, "s"))
     bearers = one.count()
-    keys = small(one.select("key"), bearers // 4)
+    keys = small(one.select("key"), bearers, 16)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             got = [shingle(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([_signed(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in got], dtype=np.uint64)), pa.array([x.tobytes() for x in got], pa.binary())], names=["s", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())], names=["s", "t"])
         tidy()
 
     read = texts.join(keys, "key", "left_semi").select("key", "text")
     if member.join(keys, "key", "left_semi").count() > bearers:
         read = read.dropDuplicates(["key"])  # repeated rows are read once
-    read = read.select("text").mapInArrow(whole_sets, "s long, t binary")
+    read = read.select("text").mapInArrow(whole_sets, "s binary, t binary")
     # only the sets that a pair of blocks needs travel to it
-    stored = read.join(small(one.select("s", "idx"), bearers), "s").select("idx", "t")
-    shipped = stored.join(small(needs, needs.count() // 4), "idx").groupBy("bp").agg(F.collect_list(F.struct("idx", "t")).alias("x"))
+    stored = read.join(small(one.select("s", "idx"), bearers, 24), "s").select("idx", "t")
+    shipped = stored.join(small(needs, needs.count(), 16), "idx").groupBy("bp").agg(F.collect_list(F.struct("idx", "t")).alias("x"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +261,9 @@ def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: i
 
     checked = wanted.join(shipped, "bp").select("w", "x").mapInArrow(verified, "a long, b long")
     joined = components(checked).join(numbered.select("s", F.col("idx").alias("node")), "node").select("s", "component")
-    return member.join(joined, "s", "left").withColumn("c", F.when(F.col("n") == 0, F.struct(F.lit(2).alias("k"), F.coalesce("id", F.lit(0)).alias("v"))).when(F.col("component").isNotNull(), F.struct(F.lit(1).alias("k"), F.col("component").alias("v"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("s").alias("v"))))
+    grouped = member.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).join(joined, "s")
+    c = F.when(F.col("n") == 0, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))).when(F.col("component").isNotNull(), F.concat(F.lit("="), F.col("component").cast("string")))
+    return join_groups(member, grouped, "s", "rows", "left").withColumn("c", F.coalesce(c, F.hex("s")))
 
 
 def _probe(batch: pa.RecordBatch, percent: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -286,18 +295,20 @@ def _probe(batch: pa.RecordBatch, percent: int, most: int = 1 << 21) -> Iterator
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with exactly one row of each component: that of the smallest id (nulls last), set and row hash, and one of the rows
     that are the same in all columns. Rows without shingles are similar to none and all stay."""
-    key = F.xxhash64(*docs.columns)
+    key, name = row_key(*[F.col(f"`{c}`") for c in docs.columns]), fresh("key", docs)
     got = cut(_labelled(docs, key, id_col, text_col, **how).where("n > 0").select("c", "id", "s", "key"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "s", "key")
-    first = got.groupBy("c").agg(F.min(order)["key"].alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    shared = cut(got.join(first.drop("rows"), "c").groupBy("key", "first").agg(F.count(F.lit(1)).alias("rows")))
-    keyed = docs.withColumn("__key", key)
-    out = keyed.join(shared.where("key <> first").select(F.col("key").alias("__key")).distinct(), "__key", "left_anti")
-    again = shared.where("key = first and rows > 1").select(F.col("key").alias("__key"))
-    if again.count():
-        one = keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"])
-        out = out.join(again, "__key", "left_anti").select(*keyed.columns).union(one.select(*keyed.columns))
-    return out.select(*docs.columns)
+    first = cut(got.groupBy("c").agg(F.min(order)["key"].alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    shared = cut(join_groups(got, first, "c", "rows").groupBy("key", "first").agg(F.count(F.lit(1)).alias("rows")))
+    keyed = docs.withColumn(name, key)
+    gone = cut(shared.where("key <> first").select(F.col("key").alias(name)).distinct())
+    out = keyed.join(small(gone, gone.count(), 16), name, "left_anti")
+    again = cut(shared.where("key = first and rows > 1").select(F.col("key").alias(name)))
+    n = again.count()
+    if n:
+        one = keyed.join(small(again, n, 16), name, "left_semi").dropDuplicates([name])
+        out = out.join(small(again, n, 16), name, "left_anti").select(*keyed.columns).union(one.select(*keyed.columns))
+    return out.drop(name)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
