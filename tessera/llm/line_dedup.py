@@ -6,7 +6,7 @@ pages; lines above the ratio go, wherever on the host they stand. Lines move as
 
 Defined results: a null text stays null and holds no lines; a null host is a host of its own; an empty line never goes;
 a page that loses every line keeps an empty text; repeated rows are pages of their own; an empty table stays empty;
-further columns pass through unchanged.
+further columns pass through unchanged, but for those with the names of the counts, if asked for, which are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table
+from .common import BROADCAST_ROWS, cut, fresh, table
 
 #: Share of a host's pages above which a line is boilerplate, and the pages that must hold it in any case.
 MAX_RATIO, MIN_PAGES = 0.02, 5
@@ -45,23 +45,24 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, lines_col: str | None = None, dropped_col: str | None = None) -> DataFrame:
     """docs with the text's boilerplate lines dropped; lines_col and dropped_col, if named, get the counts (long)."""
-    gone = cut(boilerplate(docs, host_col, text_col, max_ratio, min_pages).select(F.col("host").alias("__host"), F.col("gone").alias("__gone")))
-    lines = gone.agg(F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()[0]
-    host = F.col(host_col)
+    of, lost, salt, deal, left = (fresh(f"__{n}", docs) for n in ("host", "gone", "salt", "deal", "kept"))
+    gone = cut(boilerplate(docs, host_col, text_col, max_ratio, min_pages).select(F.col("host").alias(of), F.col("gone").alias(lost)))
+    lines = gone.agg(F.coalesce(F.sum(F.size(lost)), F.lit(0))).first()[0]
+    host, columns = F.col(host_col), docs.columns
     if lines <= BROADCAST_ROWS:
-        with_gone = docs.join(F.broadcast(gone), host.eqNullSafe(F.col("__host")), "left")
+        with_gone = docs.join(F.broadcast(gone), host.eqNullSafe(F.col(of)), "left")
     else:
         # Too many for a broadcast: hosts are dealt over salts, so that a hot one meets its lines in many tasks.
-        salted = gone.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("__deal", F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.lit(SALTS)).cast("int"))
-        with_gone = dealt.join(salted, host.eqNullSafe(F.col("__host")) & (F.col("__deal") == F.col("__salt")), "left").drop("__deal", "__salt")
-    kept = F.filter(_lines(F.col(text_col)), lambda x: (F.trim(x) == "") | ~F.array_contains("__gone", _key(x)))
-    out = with_gone.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept).otherwise(_lines(F.col(text_col))))
+        salted = gone.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn(deal, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(SALTS)).cast("int"))
+        with_gone = dealt.join(salted, host.eqNullSafe(F.col(of)) & (F.col(deal) == F.col(salt)), "left").drop(deal, salt)
+    kept = F.filter(_lines(F.col(text_col)), lambda x: (F.trim(x) == "") | ~F.array_contains(lost, _key(x)))
+    out = with_gone.withColumn(left, F.when(F.col(lost).isNotNull(), kept).otherwise(_lines(F.col(text_col))))
     if lines_col:
         out = out.withColumn(lines_col, F.coalesce(F.size(_lines(F.col(text_col))), F.lit(0)).cast("long"))
     if dropped_col:
-        out = out.withColumn(dropped_col, F.coalesce(F.size(_lines(F.col(text_col))) - F.size("__kept"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join("__kept", "\n"))).drop("__host", "__gone", "__kept")
+        out = out.withColumn(dropped_col, F.coalesce(F.size(_lines(F.col(text_col))) - F.size(left), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join(left, "\n"))).drop(of, lost, left)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

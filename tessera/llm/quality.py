@@ -3,12 +3,12 @@
 Overlapping heuristics vote on every document: good, bad, or nothing. The counts of their joint votes (at most
 3^labellers of them, whatever the corpus) go to the driver, where expectation-maximisation of a latent class model
 estimates how often each labeller votes what on good and on bad documents, and so the probability of good for each joint
-vote. These posteriors train a logistic scorer on hashed word features, on a bounded sample (SAMPLE documents, those
-with the smallest hashes); the scorer then scores every whole document.
+vote. These posteriors train a logistic scorer on hashed word features, on a bounded sample (SAMPLE documents at most, those of the
+smallest hashes of id and text); the scorer then scores every whole document.
 
 Defined results: null and empty texts hold no words; every labeller abstains on them, and the scorer, which finds no
 evidence against them, keeps them with the prior's score; ids may be null or repeated, rows are judged on their own;
-an empty table gives an empty result; more columns pass through.
+an empty table gives an empty result; more columns pass through, but for one with the name of the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ship, table, tidy
+from .common import fresh, ship, table, tidy
 
 GOOD, BAD, NONE = 1, 0, 2
-#: Documents that the scorer is fitted on, at most about so many; buckets of its hashed features; passes over the sample.
+#: Documents that the scorer is fitted on, at most; buckets of its hashed features; passes over the sample.
 SAMPLE, BUCKETS, PASSES = 4_000, 1 << 14, 200
 #: Weight of the prior in a document's score, in words: little text is little evidence.
 PRIOR_WORDS = 3
@@ -187,10 +188,12 @@ def _batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS, score_col: str = "score") -> DataFrame:
-    """docs with the scorer's probability of good."""
+    """docs with the scorer's probability of good in score_col, the last column."""
     ship(docs.sparkSession)
     n_votes = len(LABELLERS)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != score_col.lower()])
+    text = F.col(text_col).cast("string")
+    texts = docs.select(text.alias("text"))
 
     def joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
@@ -221,13 +224,21 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         for whole in batches:
             for batch in _batches(whole):
                 rows = [(*_sparse(t, buckets, known), weak(t)) for t in (x.as_py() or "" for x in batch.column(0))]
-                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v, _ in rows], pa.binary()), pa.array([p for _, _, p in rows], pa.float64())], names=["a", "v", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.tobytes() for a, _, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v, _ in rows], pa.binary()), pa.array([p for _, _, p in rows], pa.float64())], names=["h", "a", "v", "p"])
         tidy()
 
     total = int(count.sum())
-    take = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, total)))
-    fitted = docs.where(take).select(F.col(text_col).cast("string").alias("text")).mapInArrow(sampled, "a binary, v binary, p double").orderBy("p", "a", "v").collect()
-    weights, bias = fit_scorer([tuple(map(bytes, r[:2])) + (r[2],) for r in fitted], buckets)
+    # Hashes below a bound that lets somewhat more than the sample through, and of these the smallest. Where rows repeat so much
+    # that none is below it, the bound grows; the sample's size never does.
+    hashed, share = docs.select(text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text, F.lit(7)).alias("h")), min(1.0, 1.2 * sample / max(1, total))
+    fitted: list = []
+    while total and not fitted:
+        below = hashed.where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1024)))) if share < 1 else hashed
+        fitted = below.mapInArrow(sampled, "h long, a binary, v binary, p double").orderBy("h", "p", "a", "v").limit(sample).collect()
+        if share >= 1:
+            break
+        share = min(1.0, share * 64)
+    weights, bias = fit_scorer([tuple(map(bytes, r[1:3])) + (r[3],) for r in fitted], buckets)
 
     names = docs.columns
     # the closure holds BUCKETS weights: its size doesn't depend on the corpus
@@ -245,8 +256,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=[*names, score_col])
         tidy()
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"{score_col} double"])
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(scored, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return docs.withColumn(fresh("__text", docs), text).mapInArrow(scored, schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
