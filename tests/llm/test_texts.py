@@ -214,16 +214,41 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_tilt_meets_targets():
-    size, count = np.array([1.0, 7.0, 50.0, 3000.0]), np.array([40.0, 30.0, 10.0, 1.0])
-    words_ = (size * count).sum()
-    for share in (0.01, 0.5, 1.0, 1.7, 2.99):
-        rate = mixing.tilt(size, count, share * words_, 3)
-        assert abs((rate * size * count).sum() - share * words_) < 1e-6 * words_ and (rate >= 0).all() and (rate <= 3).all()
+def test_tilt_meets_targets(spark):
+    size, count = [0, 1, 7, 50, 3000], [5, 40, 30, 10, 1]
+    total = sum(a * b for a, b in zip(size, count, strict=True))
+    shares = [0.0, 0.01, 0.5, 1.0, 1.7, 2.99, 3.0]
+    cells = spark.createDataFrame([(f"s{k}", a, b) for k in range(len(shares)) for a, b in zip(size, count, strict=True)] + [("none", 0, 3)], "key string, size long, n long")
+    wanted = spark.createDataFrame([(f"s{k}", total, x * total) for k, x in enumerate(shares)] + [("none", 0, 0.0)], "key string, source_size long, target double")
+    got = {}
+    for r in mixing.rates(cells, wanted, 3).collect():
+        got.setdefault(r["key"], {})[r["size"]] = r["rate"]
+    assert got.pop("none") == {0: 1.0}
+    for k, x in enumerate(shares):
+        rate = np.array([got[f"s{k}"][n] for n in size])
+        assert rate[0] == 1.0 and abs((rate * size * count).sum() - x * total) < 1e-6 * total and (rate >= 0).all() and (rate <= 3).all()
         # the odds of a rate are exponential in the size
-        some = (rate > 1e-9) & (rate < 3 - 1e-9)
-        odds = np.log(rate[some] / (3 - rate[some]) * 2) / size[some]
-        assert np.allclose(odds, odds[0], rtol=1e-3, atol=1e-6)
+        some = (rate > 1e-9) & (rate < 3 - 1e-9) & (np.array(size) > 0)
+        odds = np.log(rate[some] / (3 - rate[some]) * 2) / np.array(size)[some]
+        assert np.allclose(odds, odds[0] if len(odds) else 0, rtol=1e-3, atol=1e-6)
+
+
+def test_mixing_of_copies(spark, monkeypatch):
+    """Rows that are all the same, without ids: some have a copy more than others, and none stands with others for its part."""
+    monkeypatch.setattr(mixing, "CELL", 10)
+    rows = [(None, "one two three", "a")] * 205 + [(i % 7, f"one two n{i % 50}", "a") for i in range(300)] + [(9, "b " * 40, "b")] * 31
+    df = frame(spark, rows)
+    got, out = mixing.mix(df).collect(), mixing.mixed(df).collect()
+    assert len(got) == len(rows)
+    own = {"=a": 505 * 3, "=b": 31 * 40}
+    taken, again = Counter(), Counter()
+    for r in got:
+        taken[r["key"]] += r["copies"] * r["size"]
+        assert r["source_size"] == own[r["key"]] and r["copies"] <= 3
+    for r in out:
+        again["=" + r["source"]] += len(r["text"].split())
+    assert taken == again and Counter(r["id"] for r in got for _ in range(r["copies"])) == Counter(r["doc_id"] for r in out)
+    assert abs(taken["=a"] - 5 / 7 * sum(own.values())) <= 3 and abs(taken["=b"] - 2 / 7 * sum(own.values())) <= 40
 
 
 # packing
