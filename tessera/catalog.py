@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .crud import CrudHelper, StrictCrudHelper
+from .crud import CrudHelper, CrudView, StrictCrudHelper
 from .model import Frames, Model
 from .models_tpch import Customer, Events, Lineitem, Nation, Orders, Part, Region
-from .query import Query
+from .operators.filter import column_test
+from .operators.project import Projection
+from .plans.policy import Settings
+from .query import Handlers, Query
 from .sources import by_keys, json_lines
 
 OPEN = {"aggregate_insecure": True}
@@ -172,10 +177,28 @@ add("p_proxy", Customer, {"project": ["c_custkey", "order_statuses"]}, "SELECT c
 add("p_default", Nation, {}, "SELECT n_name FROM nation", {"default_projection": ["n_name"]})
 
 
-add("p_bundled", Customer, {"project": ["name_length"], "limit": 5, "sort": ["c_custkey"]}, "SELECT CAST(length(c_name) AS INT) AS name_length FROM customer ORDER BY c_custkey LIMIT 5", {"bundled_project": {"name_length": ["c_name", "c_acctbal"]}})
-add("p_ensured", Customer, {"project": {"c_acctbal": 0, "c_name": 0, "c_mktsegment": 0, "order_statuses": 0}}, f"SELECT c_custkey, c_nationkey, nation_or_null, balance_band FROM {CUST}", {"ensure_loaded": ["c_name"]})
+add("p_bundled", Customer, {"project": ["name_length"]}, "SELECT CAST(length(c_name) AS INT) AS name_length, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", {"bundled_project": {"name_length": ["nation"]}}, then=flat("nation", "n_name"))
+add("p_ensured", Nation, {"project": ["n_name"]}, "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey", {"ensure_loaded": ["region"]}, then=flat("region", "r_name"))
+add("p_exclude_relation", Region, {"project": {"nations": 0}}, "SELECT r_regionkey, r_name FROM region")
+add("p_exclude_with_relation", Region, {"project": {"r_name": 0, "nations": 0}}, "SELECT r_regionkey FROM region")
+add("p_mixed", Region, {"project": {"r_regionkey": 0, "r_name": 1}}, "SELECT r_name FROM region")
+add("p_legacy", Region, {"project": {"r_name": 1, "gone": 1}}, "SELECT r_name FROM region", {"legacy_fields": ["gone"]})
+add("p_hidden", Customer, {"project": {"c_name": 0, "c_acctbal": 0, "c_mktsegment": 0, "order_statuses": 0}}, f"SELECT c_custkey, c_nationkey, nation_or_null, balance_band, CAST(length(c_name) AS INT) AS name_length FROM {CUST}", {"default_unexclude_properties": ["name_length"]})
+add("f_arr_ne_list", Part, {"project": ["p_partkey"], "filter": {"words": {"$ne": ["hot", "bolt"]}}}, f"SELECT p_partkey FROM {PART} WHERE words <> ['hot', 'bolt']")
 add("p_default_exclude", Nation, {}, "SELECT n_nationkey, n_regionkey FROM nation", {"default_exclude": ["n_name"]})
 add("j_join_and_joinf", Orders, {"project": ["o_orderkey"], "filter": {"o_orderstatus": "P"}, "join": {"customer": {"project": ["c_name"]}}, "joinf": {"lineitems": {"project": ["l_linenumber"], "filter": {"l_quantity": {"$gt": 40}}}}}, "SELECT o_orderkey, c_name, l_linenumber FROM orders LEFT JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 WHERE o_orderstatus = 'P'", then=chain(flat("customer", "c_name"), flat("lineitems", "l_linenumber")))
+add("j_self", Nation, {"project": ["n_name"], "join": {"head": {"project": ["n_name"]}, "members": {"project": ["n_nationkey"], "join": {"head": {"project": ["n_nationkey"]}}}}}, "SELECT n.n_name, h.n_name AS head_name, m.n_nationkey AS member, n2.n_nationkey AS member_head FROM nation n LEFT JOIN nation h ON n.n_regionkey = h.n_nationkey LEFT JOIN nation m ON m.n_regionkey = n.n_nationkey LEFT JOIN nation n2 ON m.n_regionkey = n2.n_nationkey", then=lambda df: df.select("n_name", F.col("head.n_name").alias("head_name"), F.explode_outer("members").alias("m")).select("n_name", "head_name", F.col("m.n_nationkey").alias("member"), F.col("m.head.n_nationkey").alias("member_head")))
+add("j_self_semi", Nation, {"project": ["n_name"], "filter": {"members.n_name": {"$prefix": "I"}}}, "SELECT n_name FROM nation n WHERE EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = n.n_nationkey AND m.n_name LIKE 'I%')")
+add("j_same_model_twice", Nation, {"project": ["n_name"], "join": {"region": {"project": ["r_name"]}, "region_of_key": {"project": ["r_name"], "filter": {"r_name": {"$ne": "ASIA"}}}}}, "SELECT n_name, a.r_name AS region, b.r_name AS other FROM nation LEFT JOIN region a ON n_regionkey = a.r_regionkey LEFT JOIN region b ON n_nationkey = b.r_regionkey AND b.r_name <> 'ASIA'", then=lambda df: df.select("n_name", F.col("region.r_name").alias("region"), F.col("region_of_key.r_name").alias("other")))
+add("j_on_clause", Customer, {"project": ["c_custkey"], "join": {"urgent_orders": {"project": ["o_orderkey"]}}}, "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'", then=flat("urgent_orders", "o_orderkey"))
+add("j_on_clause_semi", Customer, {"project": ["c_custkey"], "filter": {"urgent_orders.o_totalprice": {"$gt": 300000}}}, "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000)")
+add("j_legacy", Region, {"project": ["r_name"], "join": {"gone": None, "nations": {"project": ["n_name"]}}}, "SELECT r_name, n_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey", {"legacy_fields": ["gone"]}, then=flat("nations", "n_name"))
+add("j_m2m_page", Part, {"project": ["p_partkey"], "sort": ["p_retailprice-"], "limit": 15, "join": {"suppliers": {"project": ["s_suppkey"], "sort": ["s_acctbal-"], "limit": 2}}}, "SELECT p_partkey, s_suppkey FROM (SELECT * FROM part ORDER BY p_retailprice DESC NULLS FIRST, p_partkey LIMIT 15) LEFT JOIN (SELECT l_partkey, s_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY s_acctbal DESC NULLS FIRST, s_suppkey) AS rn FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey) ON l_partkey = p_partkey AND rn <= 2", then=flat("suppliers", "s_suppkey"))
+add("a_over_project", Nation, {"project": ["n_name"], "aggregate": {"n": {"$sum": 1}}}, "SELECT count(*) AS n FROM nation")
+add("o_object", Customer, {"project": ["c_custkey"], "sort": {"c_acctbal": -1}, "limit": 9}, "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 9")
+add("o_legacy", Nation, {"project": ["n_name"], "sort": ["gone-", "n_name-"], "limit": 4}, "SELECT n_name FROM nation ORDER BY n_name DESC NULLS FIRST, n_nationkey LIMIT 4", {"legacy_fields": ["gone"]})
+add("f_json_whole", Events, {"project": ["event_id"], "filter": {"props": {"$exists": 1}}}, "SELECT event_id FROM events WHERE props IS NOT NULL")
+add("g_related_models", Region, {"project": ["r_name"], "join": ["nations"]}, "SELECT r_name, n_name FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 12", {"related_models": {"nation": {"force_filter": {"n_nationkey": {"$gt": 12}}, "default_projection": ["n_name"]}}}, then=flat("nations", "n_name"))
 TOP_LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC NULLS FIRST, l_linenumber, l_partkey, l_suppkey, l_quantity) AS ln FROM lineitem)"
 add(
     "j_limits_everywhere", Customer,
@@ -226,7 +249,178 @@ def _upserted(spark: SparkSession, folder: str) -> DataFrame:
     return CrudHelper(Nation).upsert_many([{"n_nationkey": 1, "n_name": "RENAMED"}, {"n_nationkey": 99, "n_name": "ATLANTIS", "n_regionkey": 0}], Nation.read(spark, folder))
 
 
+def _merged_joins(spark: SparkSession, folder: str) -> DataFrame:
+    q = ask(Region, spark, folder, {"project": ["r_name"], "join": {"nations": {"project": ["n_nationkey"]}}})
+    df = q.merge(join={"nations": {"project": ["n_name"], "join": {"suppliers": {"project": ["s_suppkey"]}}}}).end()
+    return chain(flat("nations", "n_nationkey", "n_name", "suppliers"), flat("suppliers", "s_suppkey"))(df)
+
+
+def _merged_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return ask(Nation, spark, folder, {"project": ["n_name"], "limit": 6}).merge(sort=["n_regionkey-", "n_name"]).end()
+
+
+def _by_model(spark: SparkSession, folder: str) -> DataFrame:
+    return Nation.query(Frames(spark, folder), {"force_filter": {"n_regionkey": 2}}).query(project=["n_name"]).end()
+
+
+def _plucked(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings that grow by and_more and are taken over, without the row limit, by pluck_from."""
+    settings = Settings({"max_items": 3}).and_more(force_filter={"n_regionkey": 1}).pluck_from()
+    return ask(Nation, spark, folder, {"project": ["n_name"]}, settings).end()
+
+
+def _enough(spark: SparkSession, folder: str) -> DataFrame:
+    """A handler of a query's own: nulls never pass a comparison that excludes."""
+
+    class Strict(Query):
+        handlers = Handlers(column_test=lambda scope, test: column_test(scope, test) & (scope[test.name].isNotNull() if test.operator == "$ne" else F.lit(True)))
+
+    return Strict(Customer).using(Frames(spark, folder)).query(project=["c_custkey"], filter={"nation_or_null": {"$ne": 5}}).end()
+
+
+def facts(key: str, schema: str, make, sql: str) -> None:
+    """Registers what the engine says about a query, as rows."""
+    QUERIES[key] = lambda spark, folder: spark.createDataFrame(make(spark, folder), schema)
+    ORACLES[key] = sql
+
+
+def _refused(model: Model, qo: dict, settings: dict | None = None) -> str:
+    """The name of the error that a query object is refused with."""
+    try:
+        Query(model, settings or {}).query(**qo)
+    except Exception as e:  # noqa: BLE001
+        return type(e).__name__
+    return "accepted"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
+
+
+REFUSED = [
+    ("unknown key", Region, {"prject": 1}, None, "InvalidQueryError"),
+    ("unknown column", Region, {"project": ["nope"]}, None, "InvalidColumnError"),
+    ("unknown relation", Region, {"join": ["nope"]}, None, "InvalidRelationError"),
+    ("disabled part", Region, {"sort": ["r_name"]}, {"sort_enabled": False}, "DisabledError"),
+    ("banned relation", Region, {"join": ["nations"]}, {"banned_relations": ["nations"]}, "DisabledError"),
+    ("relation not allowed", Nation, {"join": ["region"]}, {"allowed_relations": ["suppliers"]}, "DisabledError"),
+    ("unknown setting", Region, {}, {"max_itms": 1}, "KeyError"),
+    ("relation of a setting", Region, {}, {"related": {"nope": {}}}, "KeyError"),
+    ("direction", Region, {"sort": {"r_name": 2}}, None, "InvalidQueryError"),
+    ("two sorted keys", Region, {"sort": {"r_name": 1, "r_regionkey": 1}}, None, "InvalidQueryError"),
+    ("insecure aggregate", Orders, {"aggregate": {"m": {"$max": "o_totalprice"}}}, None, "DisabledError"),
+    ("ones and zeros", Customer, {"project": {"c_name": 1, "c_acctbal": 0}}, None, "InvalidQueryError"),
+    ("raiseload twice", Region, {}, {"raiseload": True, "raiseload_col": True}, "ValueError"),
+    ("fine", Region, {"project": ["r_name"]}, {"raiseload": True}, "accepted"),
+]
+facts("g_refused", "what string, error string", lambda spark, folder: [(what, _refused(m, qo, s)) for what, m, qo, s, _ in REFUSED], _values([(what, e) for what, *_, e in REFUSED], "what, error"))
+
+
+def _member(q: Query) -> list[tuple]:
+    full = q.full_projection()
+    return [(n, full[n], int(n in q)) for n in sorted(full)]
+
+
+facts(
+    "p_full_projection", "name string, shown int, loaded int",
+    lambda spark, folder: _member(ask(Region, spark, folder, {"project": ["r_name"], "join": ["nations"]})),
+    _values([("nations", 1, 1), ("r_name", 1, 1), ("r_regionkey", 0, 1)], "name, shown, loaded"),
+)
+facts(
+    "p_quiet", "name string, shown int, loaded int",
+    lambda spark, folder: [x for x in _member(ask(Customer, spark, folder, {"project": ["c_custkey"]}).ensure_loaded("c_name")) if x[0].startswith("c_")],
+    _values([("c_acctbal", 0, 0), ("c_custkey", 1, 1), ("c_mktsegment", 0, 0), ("c_name", 0, 1), ("c_nationkey", 0, 0)], "name, shown, loaded"),
+)
+facts(
+    "p_columns_of", "step string, names string",
+    lambda spark, folder: [(k, " ".join(sorted(p.visible()))) for k, p in (("include", Projection(Nation).input(["n_name"]).include(["n_regionkey"])), ("exclude", Projection(Nation).input({"n_name": 0}).exclude(["n_regionkey"])))],
+    _values([("include", "n_name n_regionkey"), ("exclude", "n_nationkey")], "step, names"),
+)
+facts(
+    "p_tree", "tree string, whole string",
+    lambda spark, folder: [(json.dumps(q.projection_tree(), sort_keys=True), json.dumps(q.final_query_object(), sort_keys=True)) for q in [ask(Region, spark, folder, {"project": ["r_name"], "join": {"nations": {"project": ["n_name"], "limit": 3}}}, {"max_items": 7})]],
+    _values([('{"nations": {"n_name": 1}, "r_name": 1}', '{"join": {"nations": {"limit": 3, "project": {"n_name": 1, "n_nationkey": 0, "n_regionkey": 0}}}, "limit": 7, "project": {"r_name": 1, "r_regionkey": 0}}')], "tree, whole"),
+)
+facts(
+    "c_kind", "kind string",
+    lambda spark, folder: [(ask(Nation, spark, folder, qo).kind,) for qo in ({}, {"count": 1}, {"aggregate": {"n": {"$sum": 1}}})],
+    _values([("entities",), ("scalar",), ("tuples",)], "kind"),
+)
+
+
+def _reads(spark: SparkSession, folder: str) -> list[tuple]:
+    """Reading a column, a relation and an unknown name of a result row, under each setting."""
+    out = []
+    for setting in ("none", "raiseload", "raiseload_col", "raiseload_rel"):
+        row = ask(Region, spark, folder, {"project": ["r_name"], "limit": 1}, {} if setting == "none" else {setting: True}).rows()[0]
+        for name in ("r_regionkey", "nations", "nope"):
+            try:
+                got = row[name]
+            except KeyError as e:
+                got = type(e).__name__
+            out.append((setting, name, str(got)))
+    return out
+
+
+RAISES = {"none": (), "raiseload": ("r_regionkey", "nations"), "raiseload_col": ("r_regionkey",), "raiseload_rel": ("nations",)}
+facts("g_raiseload", "setting string, name string, error string", _reads, _values([(s, n, "NotLoadedError" if n in bad else "KeyError") for s, bad in RAISES.items() for n in ("r_regionkey", "nations", "nope")], "setting, name, error"))
+
+ODD_JSON = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '[1, 2]' WHEN 2 THEN '\"x\"' WHEN 3 THEN NULL ELSE 'no json' END"
+
+
+def _updated(spark: SparkSession, folder: str) -> DataFrame:
+    """An object merged into JSON text of every kind."""
+    rows = Events.read(spark, folder).withColumn("doc", F.expr(ODD_JSON))
+    out = CrudHelper(Events).update_model({"doc": {"b": 2, "c": {"d": "e"}}, "event_type": "new"}, rows)
+    return out.select("event_id", "event_type", F.get_json_object("doc", "$.k").alias("k"), F.get_json_object("doc", "$.b").alias("b"), F.get_json_object("doc", "$.c.d").alias("d"))
+
+
+Pair = Model("nation_by_region", Nation.schema, ("n_regionkey", "n_nationkey"), "nation", registry={})
+
+
+def _upserted_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects with a key of two columns: one that is there, one that is not, and one without a whole key."""
+    return CrudHelper(Pair).upsert_many([{"n_regionkey": 1, "n_nationkey": 1, "n_name": "A"}, {"n_regionkey": 0, "n_nationkey": 1, "n_name": "B"}, {"n_nationkey": 1, "n_name": "C"}], Pair.read(spark, folder))
+
+
+def _view(rows_of: DataFrame) -> CrudView:
+    class Regions(CrudView):
+        crudhelper = StrictCrudHelper(Region, const_fields=["r_regionkey"])
+
+        def _source(self) -> Frames:
+            return Frames(rows_of.sparkSession, frames={"region": rows_of})
+
+        def _query_hook(self, query: Query) -> Query:
+            return query.merge(filter={"r_regionkey": {"$lt": 4}})
+
+    return Regions()
+
+
+def _viewed(spark: SparkSession, folder: str) -> list[tuple]:
+    view = _view(Region.read(spark, folder))
+    view._get_query_object = lambda: {"project": ["r_name"], "sort": ["r_regionkey-"]}
+    out = [("list", ",".join(r["r_name"] for r in view.method_list())), ("get", view.method_get(r_regionkey=2)["r_name"])]
+    out.append(("create", json.dumps(view.method_create({"r_regionkey": 9, "r_name": "NEW"}).after)))
+    out.append(("update", json.dumps(view.method_update({"r_regionkey": 7, "r_name": "OLD"}, r_regionkey=1).changed)))
+    out.append(("delete", view.method_delete(r_regionkey=3).before["r_name"]))
+    many = view.method_create_or_update_many([{"r_regionkey": 1, "r_name": "X"}, {"r_name": "Y"}, {"r_regionkey": 77}, 5, {"nope": 1}])
+    return [*out, ("many", ",".join(getattr(x, "kind", type(x).__name__) for x in many))]
+
+
+facts(
+    "d_view", "method string, result string", _viewed,
+    _values([("list", "EUROPE,ASIA,AMERICA,AFRICA"), ("get", "ASIA"), ("create", '{"r_regionkey": 9, "r_name": "NEW"}'), ("update", '{"r_name": ["AMERICA", "OLD"]}'), ("delete", "EUROPE"), ("many", "update,create,InvalidQueryError,InvalidColumnError")], "method, result"),
+)
+
 for key, run, sql in (
+    ("j_merge", _merged_joins, "SELECT r_name, n_nationkey, n_name, s_suppkey FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey"),
+    ("o_merge", _merged_sort, "SELECT n_name FROM nation ORDER BY n_regionkey DESC NULLS FIRST, n_name LIMIT 6"),
+    ("s_of_model", _by_model, "SELECT n_name FROM nation WHERE n_regionkey = 2"),
+    ("g_settings", _plucked, "SELECT n_name FROM nation WHERE n_regionkey = 1"),
+    ("u_handlers", _enough, f"SELECT c_custkey FROM {CUST} WHERE nation_or_null <> 5"),
+    ("d_update", _updated, "SELECT event_id, 'new' AS event_type, CASE event_id % 5 WHEN 0 THEN props->>'$.k' END AS k, '2' AS b, 'e' AS d FROM events"),
+    ("d_upsert_pairs", _upserted_pairs, "SELECT CAST(0 AS BIGINT) AS ordinal, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 1 AND n_nationkey = 1) THEN 'update' ELSE 'not_found' END AS change, 1 AS n_nationkey, 'A' AS n_name, 1 AS n_regionkey UNION ALL SELECT 1, CASE WHEN EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 0 AND n_nationkey = 1) THEN 'update' ELSE 'not_found' END, 1, 'B', 0 UNION ALL SELECT 2, 'create', 1, 'C', NULL"),
     ("c_end_count", _end_count, "SELECT c_custkey, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS total FROM customer WHERE c_acctbal > 0 ORDER BY c_custkey LIMIT 7 OFFSET 10"),
     ("l_no_limit_offset", _no_limit, "SELECT n_name FROM nation"),
     ("s_aliased", _aliased, "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey AND r_name = 'ASIA')"),

@@ -22,12 +22,12 @@ def _many(target: str, own: str, other: str) -> Relationship:
 
 
 Region = _model("region", "r_regionkey INT, r_name STRING", "r_regionkey", relations={"nations": _many("nation", "r_regionkey", "n_regionkey")})
-Nation = _model("nation", "n_nationkey INT, n_name STRING, n_regionkey INT", "n_nationkey", relations={"region": _one("region", "n_regionkey", "r_regionkey"), "customers": _many("customer", "n_nationkey", "c_nationkey"), "suppliers": _many("supplier", "n_nationkey", "s_nationkey")})
+Nation = _model("nation", "n_nationkey INT, n_name STRING, n_regionkey INT", "n_nationkey", relations={"region": _one("region", "n_regionkey", "r_regionkey"), "region_of_key": _one("region", "n_nationkey", "r_regionkey"), "head": _one("nation", "n_regionkey", "n_nationkey"), "members": _many("nation", "n_nationkey", "n_regionkey"), "customers": _many("customer", "n_nationkey", "c_nationkey"), "suppliers": _many("supplier", "n_nationkey", "s_nationkey")})
 Customer = _model(
     "customer",
     "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
     "c_custkey",
-    relations={"nation": _one("nation", "c_nationkey", "n_nationkey"), "orders": _many("orders", "c_custkey", "o_custkey")},
+    relations={"nation": _one("nation", "c_nationkey", "n_nationkey"), "orders": _many("orders", "c_custkey", "o_custkey"), "urgent_orders": Relationship("orders", (("c_custkey", "o_custkey"),), where=lambda s: s["o_orderpriority"] == "1-URGENT")},
     column_properties={"nation_or_null": lambda s: F.nullif(s["c_nationkey"], F.lit(3)), "balance_band": lambda s: F.floor(s["c_acctbal"] / 1000).cast("int")},
     hybrids={"rich": lambda s: s["c_acctbal"] > 5000, "has_big_order": lambda s: s.exists("orders", {"o_totalprice": {"$gt": 400000}})},
     properties={"name_length": lambda s: F.length(s["c_name"])},
