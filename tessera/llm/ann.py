@@ -1,19 +1,24 @@
 """Operator 1: approximate nearest neighbours by inverted lists and an adaptive dimension scan.
 
-Largest inner product becomes smallest distance by one more dimension (sqrt(M^2 - |x|^2), M the largest norm; 0 for
-queries). Vectors are rotated at random, so that any block of dimensions is an unbiased sample of a distance, and put into
-the list of the nearest centroid. A query probes the lists nearest to it. Within a list the rotated columns are read in
-blocks; after each block a hypothesis test compares the scaled partial distance with the distance of the worst neighbour
-held, and candidates that are significantly farther are abandoned. Survivors are scored on the original vectors.
-
-Centroids, rotation and the number of probed lists come from a bounded sample (SAMPLE vectors, smallest hashes of
-their ids): lists are probed until the neighbours of the sample's own queries lie in them with TARGET recall. Every row is
-indexed and every list that a query probes is scanned whole. Lists and queries travel as blocks of bounded size, so a hot
-list is many blocks. Exact copies are one indexed vector with its ids; a group needs only its k + 1 smallest ids to answer.
-
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, vectors whose length is not the
-most frequent one among usable vectors (ties: the smaller), and rows with a null id take no part; repeated rows (same id)
-count once; ties go to the smaller id; fewer than k candidates are all returned; an empty table gives an empty result.
+Vectors of one length are dealt into ranges of norms, by powers of four around their median norm, and each range is indexed by
+itself: a vector of extreme length does not blur the others. Within a range, largest inner product becomes smallest distance by
+one more dimension (sqrt(M^2 - |x|^2), M the range's largest norm; 0 for queries). Vectors are rotated at random, so that any
+block of dimensions is an unbiased sample of a distance, and put into the list of the nearest centroid. A query probes the
+lists nearest to it. Within a list the rotated columns are read in blocks; after each block a hypothesis test compares the
+scaled partial distance with the distance of the worst neighbour held, and candidates that are significantly farther are
+abandoned. Survivors are scored on the original vectors in double precision, and each block hands on its k + 1 best by score,
+then id: no rounding of distances and no tie decides what is left out.
+
+Centroids, rotation and the number of probed lists come from a bounded sample: eight vectors a list, LEAST_SAMPLE at least and
+MOST_SAMPLE at most, those of the smallest hashes of their ids; the number of lists grows with the square root of the number of
+vectors (up to MOST_SAMPLE / 8). Lists are probed until the neighbours of the sample's own queries lie in them with TARGET
+recall. Every row is indexed and every list that a query probes is scanned whole. Lists and queries travel as blocks of bounded
+size, and the blocks of a list in groups of GROUP, so that a hot list and its many queries are many tasks. Exact copies are one
+indexed vector with its ids; a group needs only its k + 1 smallest ids to answer.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id take no part;
+vectors of different lengths are no candidates for each other; repeated rows (same id) count once, with their smallest vector;
+ties go to the smaller id; fewer than k candidates are all returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,23 +30,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .vectors import BAD, clean, dot
+from .common import cut, small, table
+from .vectors import clean, dot
 
-#: Vectors that lists, rotation and probing are fitted on at most; vectors in a block; dimensions read at a time.
-SAMPLE, BLOCK, STEP = 8_000, 1_024, 16
+#: Bounds of the sample that lists, rotation and probing are fitted on; vectors in a block; dimensions read at a time.
+LEAST_SAMPLE, MOST_SAMPLE, BLOCK, STEP = 8_000, 200_000, 1_024, 16
 #: Recall that probing aims at on the sample; width of the hypothesis test in standard errors (ADSampling's epsilon).
 TARGET, EPSILON = 0.97, 2.1
-LISTS = 1_024
+#: Blocks of a list that meet blocks of its queries in one task.
+GROUP = 8
 
 
-def fit(sample: np.ndarray, biggest: float, n: int, k: int, target: float = TARGET, most_lists: int = LISTS) -> tuple[np.ndarray, np.ndarray, int]:
+def sample_size(n: int) -> int:
+    """Vectors to fit on, about, for n vectors: eight for each of sqrt(n) / 2 lists."""
+    return int(np.clip(4 * np.sqrt(n), LEAST_SAMPLE, MOST_SAMPLE))
+
+
+def fit(sample: np.ndarray, biggest: float, n: int, k: int, target: float = TARGET) -> tuple[np.ndarray, np.ndarray, int]:
     """(rotation, centroids, lists to probe) from sample vectors; n is the number of vectors to be indexed."""
     rng = np.random.default_rng(17)
     d = sample.shape[1] + 1
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
     x = lift(sample, biggest) @ rotation
-    lists = int(np.clip(np.sqrt(n) / 2, 1, min(most_lists, max(1, len(x) // 8))))
+    lists = int(np.clip(np.sqrt(n) / 2, 1, max(1, len(x) // 8)))
     centroids = x[rng.choice(len(x), lists, replace=False)].copy()
     for _ in range(10):
         own = nearest(x, centroids)
@@ -105,111 +116,155 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int, bound: np.ndarray, step:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK, target: float = TARGET) -> DataFrame:
+def best_scores(q: np.ndarray, g: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each query, by score, then by id."""
+    order = np.lexsort((g, -score, q))
+    start = np.flatnonzero(np.r_[True, np.diff(q[order]) != 0]) if len(order) else np.zeros(0, int)
+    at = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+    return order[at < k]
+
+
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    """Vectors of length d from a list column or from bytes of doubles."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, d)
+
+
+class Range:
+    """The index of the vectors of one length and one range of norms."""
+
+    def __init__(self, groups: DataFrame, n: int, biggest: float, d: int, k: int, sample: int | None, block: int, target: float):
+        self.groups, self.n, self.biggest, self.d, self.k, self.block = groups, n, biggest, d, k, block
+        most = sample or sample_size(n)
+        share = F.pmod(F.xxhash64("g", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * most / n)) if n > most else F.lit(True)
+        taken = groups.where(share).orderBy("g").limit(most).select("g", "v").collect() or groups.orderBy("g").limit(1).select("g", "v").collect()
+        self.few, self.few_g = np.array([r[1] for r in taken]), np.array([r[0] for r in taken], dtype=np.int64)
+        self.rotation, self.centroids, self.probes = fit(self.few, biggest, n, k, target)
+
+    def in_blocks(self, df: DataFrame, key: str, *cols: str) -> DataFrame:
+        """(list, team, x): rows of each list, dealt into blocks of about `block` rows; GROUP blocks are a team."""
+        df = cut(df)
+        sized = df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("parts"))
+        dealt = df.join(small(sized, len(self.centroids)), "list").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+        return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(key, *cols)).alias("x")).select("list", F.floor(F.col("part") / GROUP).cast("int").alias("team"), "x")
+
+    def nearest(self, asked: DataFrame) -> DataFrame:
+        """(q, g, score) of the k + 1 best of each query (q, v, kth), as found; kth: a score that k + 1 others reach, or null."""
+        d, k, biggest, rotation, centroids, few, few_g = self.d, self.k, self.biggest, self.rotation, self.centroids, self.few, self.few_g
+        probes = self.probes
+
+        def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column(1), d)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nearest(lift(x, biggest) @ rotation, centroids), pa.int32()), pa.array([y.tobytes() for y in x.astype("<f8")], pa.binary())], names=["g", "list", "x"])
+
+        def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, 512):
+                    part = b.slice(i, 512)
+                    x = _matrix(part.column(1), d)
+                    lists = np.argsort(distances(np.hstack([x, np.zeros((len(x), 1))]) @ rotation, centroids), 1, kind="stable")[:, :probes]
+                    m = lists.shape[1]
+                    raw = [y.tobytes() for y in x.astype("<f8")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(lists.ravel().astype(np.int32)), pa.array([y for y in raw for _ in range(m)], pa.binary()), pa.array(np.tile(np.arange(m, dtype=np.int32), part.num_rows))], names=["q", "list", "x", "nth"])
+
+        def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The best of the sample are candidates like any other, and bound the first lists."""
+            for b in batches:
+                for i in range(0, b.num_rows, 512):
+                    part = b.slice(i, 512)
+                    score = _matrix(part.column(1), d) @ few.T
+                    m = min(k + 1, len(few))
+                    at = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(few_g[at].ravel()), pa.array(np.take_along_axis(score, at, 1).ravel())], names=["q", "g", "score"])
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for x, y in zip(b.column(0), b.column(1), strict=True):
+                    rows, asks = x.values, y.values
+                    g, v = rows.field("g").to_numpy(), _matrix(rows.field("x"), d)
+                    q, qv, kth = asks.field("q").to_numpy(), _matrix(asks.field("x"), d), asks.field("kth").to_numpy(zero_copy_only=False)
+                    far_most = (qv * qv).sum(1) + biggest**2
+                    bound = np.where(np.isnan(kth), np.inf, far_most - 2 * np.nan_to_num(kth))
+                    # single precision orders distances up to its error only: what may be among the k + 1 best is scored
+                    slack = 1e-5 * far_most
+                    rotated = (np.hstack([qv, np.zeros((len(qv), 1))]) @ rotation).astype("<f4"), (lift(v, biggest) @ rotation).astype("<f4")
+                    qi, ri, far = scan(*rotated, k + 1, (np.maximum(bound, 0) + slack).astype("<f4"))
+                    order = np.lexsort((far, qi))
+                    start = np.flatnonzero(np.r_[True, np.diff(qi[order]) != 0]) if len(order) else np.zeros(0, int)
+                    size = np.diff(np.r_[start, len(order)])
+                    last = far[order][start + np.minimum(size, k + 1) - 1] if len(order) else far
+                    near = order[far[order] <= np.repeat(last, size) + slack[qi[order]]]
+                    qi, ri = qi[near], ri[near]
+                    score = np.einsum("ij,ij->i", qv[qi], v[ri])
+                    stay = best_scores(qi, g[ri], score, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[qi[stay]], pa.int64()), pa.array(g[ri[stay]], pa.int64()), pa.array(score[stay])], names=["q", "g", "score"])
+
+        blocks = cut(self.in_blocks(self.groups.select("g", "v").mapInArrow(indexed, "g long, list int, x binary"), "g", "x"))
+        teams = cut(blocks.select("list", "team").distinct())
+        probed = cut(asked.select("q", "v").mapInArrow(probing, "q long, list int, x binary, nth int"))
+
+        def scan_lists(asking: DataFrame) -> DataFrame:
+            asking = self.in_blocks(asking.select("q", "list", "x", "kth"), "q", "x", "kth")
+            # a team of the queries' blocks goes to each team of the list's blocks, and the other way round
+            ask_teams = asking.select("list", F.col("team").alias("ask_team")).distinct()
+            mine = blocks.join(ask_teams, "list").withColumnRenamed("x", "rows")
+            theirs = asking.select("list", F.col("team").alias("ask_team"), F.col("x").alias("asks")).join(teams, "list")
+            return mine.join(theirs, ["list", "team", "ask_team"]).select("rows", "asks").mapInArrow(scanned, "q long, g long, score double")
+
+        def top(found: DataFrame) -> DataFrame:
+            nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "g"))
+            return found.groupBy("q", "g").agg(F.max("score").alias("score")).withColumn("nth", nth).where(F.col("nth") <= k + 1)
+
+        # The nearest lists first; what they hold tightens the bounds that all other lists are scanned with.
+        ahead = max(1, probes // 8)
+        seeds = cut(asked.select("q", "v").mapInArrow(seeded, "q long, g long, score double"))
+        first = cut(seeds.union(scan_lists(probed.where(F.col("nth") < ahead).join(self.tighter(asked, seeds), "q"))))
+        rest = scan_lists(probed.where(F.col("nth") >= ahead).join(self.tighter(asked, first), "q"))
+        return cut(top(first.union(rest)).select("q", "g", "score"))
+
+    def tighter(self, asked: DataFrame, found: DataFrame) -> DataFrame:
+        """(q, kth) from what is known and the k + 1 best of what was found."""
+        nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "g"))
+        got = found.groupBy("q", "g").agg(F.max("score").alias("score")).withColumn("nth", nth).where(F.col("nth") == self.k + 1)
+        return asked.select("q", "kth").join(got.select("q", "score"), "q", "left").select("q", F.greatest("kth", "score").alias("kth"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int | None = None, block: int = BLOCK, target: float = TARGET) -> DataFrame:
     """(query_id, rank, id, score): for each query row its k rows of largest inner product, itself left out by id."""
     spark = vectors.sparkSession
-    own = ["query_id", "rank", "id", "score"]
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    rows = clean(vectors, id_col, vector_col)
     # one row an id: the smallest vector, if rows with one id differ
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not dims:
-        return empty
-    d = int(dims[0][0])
+    rows = clean(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     # exact copies are one vector: v, its k + 1 smallest ids
-    groups = cut(rows.where(F.size("v") == d).groupBy("v").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("g", F.element_at("ids", 1)))
-    n, biggest = groups.agg(F.count(F.lit(1)), F.max(F.sqrt(dot(F.col("v"), F.col("v"))))).first()
-    share = F.pmod(F.xxhash64("g", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * sample / n)) if n > sample else F.lit(True)
-    taken = groups.where(share).orderBy("g").limit(sample).select("g", "v").collect() or groups.orderBy("g").limit(1).select("g", "v").collect()
-    got, got_g = np.array([r[1] for r in taken]), np.array([r[0] for r in taken], dtype=np.int64)
-    rotation, centroids, probes = fit(got, biggest, n, k, target)
+    groups = rows.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("g", F.element_at("ids", 1))
+    groups = cut(groups.withColumn("d", F.size("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))))
+    middle = groups.groupBy("d").agg(F.percentile_approx("norm", 0.5).alias("middle"))  # one row a length
+    ranged = groups.join(middle, "d").withColumn("range", F.floor(F.log2(F.col("norm") / F.col("middle")) / 2 + 0.5).cast("int"))
+    ranges = ranged.groupBy("d", "range").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("biggest")).collect()
     asked = queries.select(F.col(id_col).cast("long").alias("query_id")).distinct()
     # the distinct vectors of the queries: a group of copies is asked once
-    query_rows = rows.where(F.size("v") == d).join(asked, F.col("id") == F.col("query_id"), "left_semi")
+    query_rows = cut(rows.join(asked, F.col("id") == F.col("query_id"), "left_semi"))
     query_groups = cut(query_rows.select("v").distinct().withColumn("q", F.monotonically_increasing_id()))
-    n_queries = query_groups.count()
-    if not n_queries:
+    lengths = {r[0] for r in query_groups.select(F.size("v")).distinct().collect()}
+    found = None
+    # long vectors first, as what they score bounds the shorter ones
+    for d, at, n, biggest in sorted((r for r in ranges if r[0] in lengths), key=lambda r: (r[0], -r[1])):
+        held = cut(ranged.where((F.col("d") == d) & (F.col("range") == at)).select("g", "v")) if len(ranges) > 1 else groups.select("g", "v")
+        index = Range(held, n, biggest, d, k, sample, block, target)
+        these = query_groups.where(F.size("v") == d).withColumn("kth", F.lit(None).cast("double"))
+        got = index.nearest(cut(these.drop("kth").join(index.tighter(these, found), "q")) if found is not None else these)
+        found = cut(found.union(got)) if found is not None else got
+    if found is None:
         return empty
-
-    few, few_g = lift(got, biggest) @ rotation, got_g
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                r = lift(x, biggest) @ rotation
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nearest(r, centroids), pa.int32()), pa.array([y.tobytes() for y in r.astype("<f4")], pa.binary())], names=["g", "list", "r"])
-
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                r = np.hstack([x, np.zeros((len(x), 1))]) @ rotation
-                lists = np.argsort(distances(r, centroids), 1, kind="stable")[:, :probes]
-                far = distances(r, few)
-                # the query may itself be in the sample, so one more
-                bound = np.partition(far, k, axis=1)[:, k] * (1 + 1e-6) if len(few) > k else np.full(len(x), np.inf)
-                m = lists.shape[1]
-                raw = [y.tobytes() for y in r.astype("<f4")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(lists.ravel().astype(np.int32)), pa.array([y for y in raw for _ in range(m)], pa.binary()), pa.array(np.repeat(bound, m)), pa.array(np.tile(np.arange(m, dtype=np.int32), part.num_rows))], names=["q", "list", "r", "bound", "nth"])
-
-    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The nearest of the sample, those that the bounds come from, are candidates like any other."""
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                far = distances(np.hstack([x, np.zeros((len(x), 1))]) @ rotation, few)
-                m = min(k + 1, len(few))
-                at = np.argpartition(far, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), m)), pa.array(few_g[at].ravel()), pa.array(np.take_along_axis(far, at, 1).ravel())], names=["q", "g", "far"])
-
-    def in_blocks(df: DataFrame, key: str, *cols: str) -> DataFrame:
-        """Rows of each list, dealt into blocks of about `block` rows."""
-        df = cut(df)
-        sized = df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # at most LISTS rows
-        dealt = df.join(F.broadcast(sized), "list").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")))
-        return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(key, *cols)).alias("x"))
-
-    blocks = cut(in_blocks(groups.select("g", "v").mapInArrow(indexed, "g long, list int, r binary"), "g", "r").select("list", F.col("x.g").alias("g"), F.col("x.r").alias("r")))
-    probed = cut(query_groups.select("q", "v").mapInArrow(probing, "q long, list int, r binary, bound double, nth int"))
-
-    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = lambda raw: np.frombuffer(b"".join(raw), dtype="<f4").reshape(-1, d + 1)
-        for b in batches:
-            for g, r, q, qr, bound in zip(*[b.column(i) for i in (1, 2, 3, 4, 5)], strict=True):
-                g, q = np.array(g.as_py()), np.array(q.as_py())
-                # one more than k, as a query's own group may have no other member
-                qi, ri, far = scan(matrix(qr.as_py()), matrix(r.as_py()), k + 1, np.array(bound.as_py()) * (1 + 1e-5) + 1e-6)
-                order = np.lexsort((g[ri], far, qi))
-                qi, ri, far = qi[order], ri[order], far[order]
-                # of one block a query needs k + 1 groups; those as far as the last stay
-                start = np.r_[0, np.flatnonzero(np.diff(qi)) + 1] if len(qi) else np.zeros(0, int)
-                at = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
-                stay = at < k + 4
-                yield pa.RecordBatch.from_arrays([pa.array(q[qi[stay]], pa.int64()), pa.array(g[ri[stay]], pa.int64()), pa.array(far[stay].astype(float))], names=["q", "g", "far"])
-
-    def scan_lists(asking: DataFrame) -> DataFrame:
-        asking = in_blocks(asking.select("q", "list", "r", "bound"), "q", "r", "bound").select("list", F.col("x.q").alias("q"), F.col("x.r").alias("qr"), F.col("x.bound").alias("bound"))
-        return blocks.join(asking, "list").mapInArrow(scanned, "q long, g long, far double")
-
-    # The nearest lists first; what they hold tightens the bounds that all other lists are scanned with.
-    ahead = max(1, probes // 8)
-    first = scan_lists(probed.where(F.col("nth") < ahead)).union(query_groups.select("q", "v").mapInArrow(seeded, "q long, g long, far double"))
-    first = cut(first.groupBy("q", "g").agg(F.min("far").alias("far")))
-    tight = first.groupBy("q").agg(F.sort_array(F.collect_list("far")).alias("x")).select("q", F.coalesce(F.get("x", F.lit(k)), F.lit(BAD)).alias("bound"))
-    rest = scan_lists(probed.where(F.col("nth") >= ahead).drop("bound").join(tight, "q"))
-    near = first.union(rest).groupBy("q", "g").agg(F.min("far").alias("far"))
-    # single precision orders candidates up to its error: a few more than needed are scored in double precision
-    nth = F.row_number().over(Window.partitionBy("q").orderBy("far", "g"))
-    best = near.withColumn("nth", nth).where(F.col("nth") <= k + 12).select("q", "g")
-    scored = best.join(query_groups.withColumnRenamed("v", "qv"), "q").join(groups, "g").select("qv", "ids", dot(F.col("qv"), F.col("v")).alias("score"))
-    each = scored.join(query_rows.select(F.col("v").alias("qv"), F.col("id").alias("query_id")).join(asked, "query_id", "left_semi"), "qv")
+    # a group that many queries found is one row of ids, so its rows are dealt over the queries' hashes by the join itself
+    scored = found.join(groups.select("g", "ids"), "g").select("q", "score", "ids")
+    each = scored.join(query_groups.select("q", F.col("v").alias("qv")), "q").join(query_rows.select(F.col("v").alias("qv"), F.col("id").alias("query_id")), "qv")
     each = each.select("query_id", "score", F.explode("ids").alias("id")).where("id <> query_id")
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return top.where(F.col("rank") <= k).select(*own)
+    return top.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

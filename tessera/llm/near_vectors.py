@@ -8,17 +8,19 @@ vectors. For two vectors of a given cosine the projections are bivariate normal
 directions is calibrated: so many that a pair right at the limit reaches the count with probability `recall`.
 
 The share of the ends shrinks with the square root of the number of vectors, so directions, kept projections and random
-collisions grow as n^1.5. Exact copies are one vector with a count. The ends of a direction that hold many vectors are dealt
-into blocks, and blocks meet blocks.
+collisions grow as n^1.5. Exact copies are one vector with a count. Collisions travel as lists, one for each kept projection, and
+are counted list by list, so no row is made for a pair that collides too seldom. The ends of a direction that hold many vectors
+are dealt into blocks, and each pair of blocks of an end has a key of its own.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing (n_links 0, a
-component of their own), as do vectors of another length than the most frequent; a null id is kept as such with no links;
+component of their own), as do vectors of different lengths; a null id is kept as such with no links;
 rows with the same id are one vector (the smallest of them); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb, erf, exp, pi, sqrt
 
 import numpy as np
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, join_groups, table
 from .vectors import clean, dot
 
 COSINE = 0.9
 #: Probability that a pair right at the limit is counted often enough; collisions asked for; window in units of a
 #: pair's typical difference of projections; vectors of one end of a direction in a block; directions a task multiplies by.
 RECALL, VOTES, WIDTH, BLOCK, DIRECTIONS = 0.98, 2, 2.5, 512, 512
+#: Collisions that a task holds, about, before it hands them on.
+PAIRS = 1 << 19
 
 
 def _above(z: float) -> float:
@@ -117,28 +121,44 @@ def near_pairs(groups: DataFrame, n: int, d: int, cosine: float = COSINE, recall
     blocks = dealt.groupBy("e", "part").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("p", "g"))).alias("x"))
     blocks = blocks.select("e", "part", "parts", F.col("x.p").alias("p"), F.col("x.g").alias("g"))
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, g in zip(batch.column(0), batch.column(1), strict=True):
-                p, g = p.values.to_numpy(), g.values.to_numpy()
-                i, j = window_pairs(p, p, width, True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[i], g[j])), pa.array(np.maximum(g[i], g[j]))], names=["a", "b"])
+    def gathered(some: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """The collisions of several blocks, by the smaller vector of each: (a, its partners, with repeats)."""
+        a, b = (np.concatenate([x[k] for x in some]) if some else np.zeros(0, np.int64) for k in range(2))
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, np.diff(a) != 0]) if len(a) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a[first], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[first, len(a)].astype(np.int32)), pa.array(b, pa.int64()))], names=["a", "b"])
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collided(batches: Iterator[pa.RecordBatch], same: bool) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                p, g, q, h = (x.values.to_numpy() for x in (row * 2 if same else row))
+                i, j = window_pairs(p, q, width, same)
+                held.append((np.minimum(g[i], h[j]), np.maximum(g[i], h[j])))
+                size += len(i)
+                if size > PAIRS:
+                    yield gathered(held)
+                    held, size = [], 0
+        yield gathered(held)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs with votes enough, from each vector's lists."""
         for batch in batches:
-            for p, g, q, h in zip(*[batch.column(i) for i in range(4)], strict=True):
-                p, g, q, h = (x.values.to_numpy() for x in (p, g, q, h))
-                i, j = window_pairs(p, q, width, False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[i], h[j])), pa.array(np.maximum(g[i], h[j]))], names=["a", "b"])
+            for a, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                b, n = np.unique(lists.values.flatten().to_numpy(), return_counts=True)
+                b = b[n >= votes]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a, dtype=np.int64)), pa.array(b)], names=["a", "b"])
 
-    pairs = blocks.select("p", "g").mapInArrow(within, "a long, b long")
+    lists = blocks.select("p", "g").mapInArrow(lambda x: collided(x, True), "a long, b array<long>")
     if some:
         split = cut(blocks.where(F.col("parts") > 1))
-        other = split.select("e", F.col("part").alias("part2"), F.col("p").alias("q"), F.col("g").alias("h"))
-        met = split.join(other, "e").where(F.col("part") < F.col("part2")).select("p", "g", "q", "h")
-        pairs = pairs.union(met.mapInArrow(across, "a long, b long"))
-    # nearly all pairs collide once only, so combining them before the shuffle would be in vain
-    often = pairs.repartition("a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes).select("a", "b")
+        ends = split.select("e", "part", "parts", "p", "g")
+        sent = ends.withColumn("part2", F.explode(F.sequence(F.col("part") + 1, F.col("parts")))).where(F.col("part2") < F.col("parts")).select("e", "part", "part2", "p", "g")
+        other = ends.where("part > 0").withColumn("part1", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).select("e", F.col("part1").alias("part"), F.col("part").alias("part2"), F.col("p").alias("q"), F.col("g").alias("h"))
+        met = sent.join(other, ["e", "part", "part2"]).select("p", "g", "q", "h")
+        lists = lists.union(met.mapInArrow(lambda x: collided(x, False), "a long, b array<long>"))
+    often = lists.groupBy("a").agg(F.collect_list("b").alias("b")).mapInArrow(counted, "a long, b long")
     left = groups.select(F.col("g").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"))
     right = groups.select(F.col("g").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"))
     both = often.join(left, "a").join(right, "b")
@@ -149,21 +169,20 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     """(id, n_links, component_id, kept) for every id."""
     ids = vectors.select(F.col(id_col).cast("long").alias("id")).distinct()
     rows = clean(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    alone = ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dims:
-        return alone
-    d = int(dims[0][0])
-    member = cut(rows.where(F.size("v") == d).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)))
+    member = cut(rows.withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)))
     groups = cut(member.groupBy("key").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))))
-    pairs = cut(near_pairs(groups, groups.count(), d, cosine, recall))
+    lengths = sorted((r[0], r[1]) for r in groups.groupBy(F.size("v")).count().collect())  # one row a length
+    if not lengths:
+        return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    each = [cut(near_pairs(groups.where(F.size("v") == d), n, d, cosine, recall)) for d, n in lengths if n > 1]
+    pairs = reduce(DataFrame.union, each) if each else ids.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     sized = groups.select("g", "n", "key")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = both.join(sized.select(F.col("g").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others"))
     joined = components(pairs)
     per = sized.join(linked, F.col("g") == F.col("a"), "left").join(joined, F.col("g") == F.col("node"), "left")
-    per = per.select("key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "g").alias("component_id"))
-    found = member.select("id", "key").join(per, "key").select("id", "n_links", "component_id")
+    per = per.select("key", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "g").alias("component_id"))
+    found = join_groups(member.select("id", "key"), per, "key", "n").select("id", "n_links", "component_id")
     out = ids.join(found, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
@@ -177,7 +196,7 @@ WITH RECURSIVE usable AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
           AND list_inner_product(a.v, b.v) / (a.norm * b.norm) >= {COSINE}),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),

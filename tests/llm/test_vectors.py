@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,43 @@ def test_search(spark):
     assert hit >= 0.9 * 20 * len(by)
 
 
+def brute(x, q, k):
+    """Ids by largest inner product, ties to the smaller one."""
+    s = x.astype(float) @ x[q].astype(float)
+    return [i for i in sorted(range(len(x)), key=lambda i: (-s[i], i)) if i != q][:k]
+
+
+@pytest.mark.parametrize("stretch", [300, 10_000])
+def test_search_beside_a_very_long_vector(spark, stretch):
+    x = np.random.default_rng(4).standard_normal((1500, 16)).astype(np.float32)
+    x[77] *= stretch
+    x[78] /= stretch
+    df = frame(spark, x, odd=False)
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 50 = 0"), 20, sample=400).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    assert set(got) == set(range(0, 1500, 50)) and all(sorted(v) == list(range(1, 21)) for v in got.values())
+    assert sum(len(set(got[q].values()) & set(brute(x, q, 20))) for q in got) >= 0.95 * 20 * len(got)
+
+
+def test_search_with_ties(spark):
+    """Different vectors of equal inner product with the query: the smallest ids are due, exactly."""
+    x = np.zeros((120, 8), dtype=np.float32)
+    x[:, 0] = 1
+    for i in range(1, 120):
+        x[i, 1 + i % 7] = 1 + i // 7  # orthogonal to the query but for the first component
+    df = frame(spark, x, odd=False)
+    got = ann.search(df, df.where("vec_id = 0"), 20, block=16).orderBy("rank").collect()
+    assert [r["id"] for r in got] == list(range(1, 21)) and {r["score"] for r in got} == {1.0}
+
+
+def test_search_of_several_lengths(spark):
+    df = frame(spark, rows())
+    more = spark.createDataFrame([(5000 + i, [1.0, float(i)], 0, "s", 1) for i in range(5)], SCHEMA)
+    got = ann.search(df.union(more), more, 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in got if r["query_id"] == 5004) == [(5004, 1, 5003), (5004, 2, 5002), (5004, 3, 9007)]
+
+
 def test_search_of_little(spark):
     df = frame(spark, rows()[:3], odd=True)
     got = ann.search(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()
@@ -80,6 +118,28 @@ def test_links(spark):
     assert len(got) == len(x) + len(ODD)
 
 
+def test_near_embeddings_that_link(spark, tmp_path):
+    """The query and its SQL on vectors of the driver's kind with near copies among them, exact ones, long ones and odd ones."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 64)).astype(np.float32)
+    x[250:330] = x[rng.integers(0, 60, 80)] + 0.25 * rng.standard_normal((80, 64)).astype(np.float32)
+    x[330:360] = x[3]
+    x[360:380] = x[rng.integers(0, 60, 20)] * np.float32(2.5)
+    data = [(i, [float(c) for c in v], 0) for i, v in enumerate(x)] + [(i, v, None) for i, v in ODD if i]
+    data += [(9100 + i, [1.0, float(i)], 0) for i in range(4)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = near_vectors.op8_near_embeddings(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(near_vectors.OP8_SQL)
+    rows = {r["vec_id"]: tuple(r) for r in got.select("vec_id", "n_links", "component_id", "kept").collect()}
+    due = {r[0]: r for r in want.project("vec_id, n_links, component_id, kept").fetchall()}
+    assert sum(r[1] for r in due.values()) > 1000 and set(rows) == set(due)
+    assert all(rows[i][1] <= due[i][1] for i in due)
+    assert sum(r[1] for r in rows.values()) >= 0.98 * sum(r[1] for r in due.values())
+    assert sum(rows[i] == due[i] for i in due) >= 0.97 * len(due)
+
+
 def test_links_of_nothing(spark):
     df = frame(spark, rows()[:5])
     assert near_vectors.link(df.limit(0)).count() == 0
@@ -91,8 +151,8 @@ def test_blocks_meet(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal(16) + rng.standard_normal((200, 16)) * 0.02
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "g long, v array<double>").withColumn("norm", F.sqrt(near_vectors.dot(F.col("v"), F.col("v"))))
-    pairs = near_vectors.near_pairs(df, 200, 16, block=16).count()
-    assert pairs >= 0.97 * 200 * 199 / 2
+    pairs = near_vectors.near_pairs(df, 200, 16, block=16)
+    assert pairs.distinct().count() == pairs.count() >= 0.97 * 200 * 199 / 2
 
 
 @pytest.mark.parametrize("n", [10, 10_000, 1_000_000])
