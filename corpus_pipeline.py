@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint_folder, remove
+from tessera.llm.common import checkpoint_folder, fresh, remove
 from tessera.llm.line_dedup import drop_boilerplate
 from tessera.llm.mixing import mixed
 from tessera.llm.ngram_join import one_of_each
@@ -21,8 +21,8 @@ from tessera.llm.quality import THRESHOLD, classify
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = classify(docs, score_col="__score")
-    return judged.where(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    score = fresh("__score", docs)
+    return classify(docs, score_col=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again, and removed when it was read."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     done = None
     for name, stage in STAGES[:-1]:
@@ -61,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if done:
             remove(spark, done)
         done = f"{folder}/{name}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)  # packing has read the documents and keeps its pieces when it returns
+    return out
