@@ -304,7 +304,7 @@ def _discovered(rows: DataFrame, min_seeds: int, confidence: float, plausible: f
 
 def _occurrences(rows: DataFrame, values: DataFrame, n: int) -> DataFrame:
     """(key, i, n, before, contexts, value) of all places of the values; equal texts are read once."""
-    keyed = rows.select(_row(F.col("text")).alias("key"), "text").dropDuplicates(["key"]) if n else rows
+    keyed = rows.select(_row(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
     if n <= ANCHORS:
         words = [r[0] for r in values.collect()]
         # a value's first word is a prefix of it
