@@ -140,6 +140,40 @@ def test_near_embeddings_that_link(spark, tmp_path):
     assert sum(rows[i] == due[i] for i in due) >= 0.97 * len(due)
 
 
+def test_dense_groups(spark, monkeypatch):
+    """Tight groups, near each other and not, with vectors at their borders: each link is counted once, none within a group is a row."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((4, 32))
+    centre[1] = centre[0] + 0.42 * rng.standard_normal(32)  # a group at the border of another
+    centre[2] = centre[0] + 0.05 * rng.standard_normal(32)  # one well inside its reach
+    x = np.concatenate([c + 0.03 * rng.standard_normal((70, 32)) for c in centre] + [centre[0] + 0.45 * rng.standard_normal((40, 32)), rng.standard_normal((60, 32))]).astype(np.float32)
+    x[5] = x[6] = x[7]
+    monkeypatch.setattr(near_vectors, "SIDE", 16)
+    monkeypatch.setattr(near_vectors, "TOGETHER", 50)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["id"]: r for r in near_vectors.link(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    n = near.sum(1) - 1
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= n).all() and found.sum() >= 0.98 * n.sum() and (found[:70] == n[:70]).mean() > 0.5
+    groups = near_vectors.clean(df, "vec_id", "embedding").groupBy("v").agg(F.min("id").alias("g"))
+    members = near_vectors.dense_classes(groups, 32, 0.9).collect()
+    assert len(members) > 100
+    by = {}
+    for r in members:
+        by.setdefault(r["leader"], []).append(r["g"])
+    assert all(near[np.ix_(m, m)].all() for m in by.values())
+    reach = {i: {i} for i in range(len(x))}
+    for i in range(len(x)):
+        for j in np.flatnonzero(near[i]):
+            if reach[i] is not reach[j]:
+                reach[i] |= reach[j]
+                for k in reach[j]:
+                    reach[k] = reach[i]
+    assert sum(got[i]["component_id"] == min(reach[i]) for i in range(len(x))) >= 0.97 * len(x)
+
+
 def test_links_of_nothing(spark):
     df = frame(spark, rows()[:5])
     assert near_vectors.link(df.limit(0)).count() == 0
@@ -151,7 +185,7 @@ def test_blocks_meet(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal(16) + rng.standard_normal((200, 16)) * 0.02
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "g long, v array<double>").withColumn("norm", F.sqrt(near_vectors.dot(F.col("v"), F.col("v"))))
-    pairs = near_vectors.near_pairs(df, 200, 16, block=16)
+    pairs = near_vectors.near_pairs(df, 200, 16, block=16).select("a", "b")
     assert pairs.distinct().count() == pairs.count() >= 0.97 * 200 * 199 / 2
 
 
