@@ -16,7 +16,8 @@ recall. Every row is indexed and every list that a query probes is scanned whole
 size, and the blocks of a list in groups of GROUP, so that a hot list and its many queries are many tasks. Exact copies are one
 indexed vector with its ids; a group needs only its k + 1 smallest ids to answer.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id take no part;
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose squared length is beyond
+the range of doubles, and rows with a null id take no part;
 vectors of different lengths are no candidates for each other; repeated rows (same id) count once, with their smallest vector;
 ties go to the smaller id; fewer than k candidates are all returned; an empty table gives an empty result.
 """
@@ -238,6 +239,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
     # one row an id: the smallest vector, if rows with one id differ
     rows = clean(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
+    square = dot(F.col("v"), F.col("v"))
+    rows = rows.where((square > 0) & (square < float("inf")))
     # exact copies are one vector: v, its k + 1 smallest ids
     groups = rows.groupBy("v").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids")).withColumn("g", F.element_at("ids", 1))
     groups = cut(groups.withColumn("d", F.size("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))))

@@ -89,6 +89,8 @@ def test_search_of_little(spark):
     got = ann.search(df, df.where("vec_id = 0"), 20).orderBy("rank").collect()
     assert sorted(r["id"] for r in got) == [1, 2]
     assert ann.search(df.limit(0), df, 20).count() == 0
+    huge = spark.createDataFrame([(1, [1e200, 1.0]), (2, [1e-200, 0.0]), (3, [1.0, 2.0]), (4, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["id"]) for r in ann.search(huge, huge, 20).orderBy("query_id").collect()] == [(3, 4), (4, 3)]
     assert ann.search(df, df.where("vec_id = 9001"), 20).count() == 0
 
 
