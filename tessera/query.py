@@ -220,12 +220,8 @@ class Binder:
         by = [sorts.ordered(F.col(s), d) for s, (_, d) in order.items()]
         unique = [F.col(k).asc_nulls_last() for k in model.primary_key]
         if parents is not None:
-            if q.skip or q.limit or any(d < 0 for _, d in sort):
-                df = limits.page_per_parent(df, parents, [*by, *unique], q.skip, q.limit)
-            else:
-                # without a page, sorting each parent's array is enough
-                rank = [x for c in [*order, *model.primary_key] for x in (F.col(c).isNull(), F.col(c))]
-                df = df.withColumn("__rn", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank)]))
+            # numbering the rows of each parent also without a page was measured to be faster than sorting arrays by several keys
+            df = limits.page_per_parent(df, parents, [*by, *unique], q.skip, q.limit)
         elif q.skip or q.limit:
             df = limits.page(df.orderBy(*by, *unique), q.skip, q.limit)
         page = q.limit if root else of if of is None or parents is None else of * (q.limit or 0)

@@ -85,11 +85,6 @@ def test_pages_restrict_every_level(spark):
     assert len(re.findall("TakeOrderedAndProject", final)) == 1 and "Reused" in final
 
 
-def test_no_window_without_a_page(spark):
-    p = plan(spark, Customer, project=["c_custkey"], join={"orders": {"project": ["o_orderkey"], "sort": ["o_totalprice"]}})
-    assert "Window" not in p
-
-
 def test_pairs_of_wanted_parents_only(spark):
     p = plan(spark, Part, project=["p_partkey"], filter={"p_size": {"$lt": 10}}, join={"suppliers": {"project": ["s_suppkey"]}})
     assert len(re.findall("LeftSemi", p)) >= 1
