@@ -74,6 +74,12 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files and checkpoints that nothing refers to any more: it does so only after the driver's JVM
+    has collected its garbage, which a large heap puts off while the disks fill."""
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int, width: int = ROW_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows, of `width` bytes each at most, are few enough; otherwise Spark shuffles."""
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df

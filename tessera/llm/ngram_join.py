@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, dense_index, fresh, join_groups, remove, row_key, small, table, tidy, written
+from .common import components, cut, dense_index, fresh, join_groups, released, remove, row_key, small, table, tidy, written
 
 WORDS, PERCENT = 3, 90
 #: Hash buckets of the token counts (a table of fixed size); the longest l; cost of verifying one candidate, in postings for
@@ -32,6 +33,8 @@ WORDS, PERCENT = 3, 90
 BUCKETS, LONGEST, VERIFY = 1 << 18, 8, 0.4
 #: Postings in a chunk; documents in a block; words whose hashes a task remembers.
 CHUNK, BLOCK, REMEMBERED = 1_024, 128, 150_000
+#: Prefix tokens that a slab holds, within a text; tokens that are counted in one group.
+SLAB, GROUP = 1 << 19, 1 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29)
@@ -78,6 +81,11 @@ def need(n: np.ndarray | int, percent: int):
     return -(-(n * percent) // 100)
 
 
+def _length(n: np.ndarray | int, percent: int, longest: int):
+    """Tokens of the longest prefix of a set of n."""
+    return np.minimum(n, n - need(n, percent) + longest)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -121,54 +129,120 @@ def _sets(docs: DataFrame, shingler_words: int, buckets: int) -> tuple[DataFrame
     return both.where(F.col("slice").isNull()).select("id", "key", "s", "n"), total.ravel()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, n_shingles, component_id, set_id) for every row; how: words, percent, longest, block."""
-    labelled = cut(_labelled(docs, row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")), id_col, text_col, **how).select("id", "s", "n", "c"))
-    names = labelled.groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    return join_groups(labelled, names, "c", "rows").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("s").alias("set_id"))
+def _planes(a: np.ndarray) -> bytes:
+    """32-bit numbers as all first bytes, all second ones and so on: sorted or small ones pack well so."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
-    """(id, key, s, n, c) for every row: rows of one component have one c. key: a hash of the row that holds its text; rows
-    are told by it, as their ids may be null or repeated."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
-    member, counts = _sets(texts, words, BUCKETS)
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _asked(tokens: np.ndarray, groups: int) -> np.ndarray:
+    """Where tokens are counted: a group above 32 bits of the token. Tokens that fall together only count as less rare."""
+    low = np.uint64(0xFFFFFFFF)
+    return ((tokens & low) % np.uint64(groups) << np.uint64(32)) | tokens >> np.uint64(32)
+
+
+def _posted(texts: DataFrame, counts: np.ndarray, words: int, percent: int, longest: int) -> DataFrame:
+    """(s, n, l, idx, tokens, about): one row for each set that shares a token of its prefix with another row, with these tokens
+    only; about: documents that have the token, times 256, plus its level. l: the level of least cost; idx: 0, 1, 2 ...
+
+    Most tokens of a prefix occur once and are worth no posting. Prefixes stay in slabs of many texts; a slab asks with 32 bits
+    a token how often they occur, groups of tokens answer slab by slab, and what is found once is dropped where it stands.
+    """
+    spark = texts.sparkSession
     held = spark.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(words), held.value
+        shingle, seen, names = Shingler(words), held.value, ["slab", "s", "n", "tokens", "held"]
+        slab, s, n, at, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            cells = [slab, b"".join(s), np.array(n, dtype="<i8").tobytes(), np.concatenate(at).astype("<u8").tobytes(), size]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, kinds, strict=True)], names=names)
+
         for batch in batches:
-            s, n, at = [], [], []
             for text in batch.column(0):
                 tokens = shingle(text.as_py())
                 if not len(tokens):
                     continue
-                length = min(len(tokens), len(tokens) - need(len(tokens), percent) + longest)
                 count = seen[_bucket(tokens, BUCKETS)]
-                first = np.lexsort((tokens, count))[:length]
                 s.append(_digest(tokens))
                 n.append(len(tokens))
-                at.append(tokens[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.binary()), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64()))], names=["s", "n", "tokens"])
+                at.append(tokens[np.lexsort((tokens, count))[: _length(len(tokens), percent, longest)]])
+                size += len(at[-1])
+                if size >= SLAB:
+                    yield packed()
+                    slab, s, n, at, size = slab + 1, [], [], [], 0
+        if size:
+            yield packed()
+        tidy()
+
+    slabs, place = written(texts.select("text").mapInArrow(prefixes, "slab long, s binary, n binary, tokens binary, held long"))
+    groups = max(1, -(-(slabs.agg(F.sum("held")).first()[0] or 0) // GROUP))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab, tokens in zip(batch.column(0), batch.column(1), strict=True):
+                keys, times = np.unique(_asked(np.frombuffer(tokens.as_py(), dtype="<u8"), groups), return_counts=True)
+                group = (keys >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+                ends = list(zip(first, np.r_[first[1:], len(keys)], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[first].astype(np.int32)), pa.array([slab.as_py()] * len(first), pa.int64()), pa.array([_planes(keys[i:j]) for i, j in ends], pa.binary()), pa.array([_planes(times[i:j]) for i, j in ends], pa.binary())],
+                    names=["group", "slab", "keys", "times"],
+                )
         tidy()
 
-    sets = texts.select("text").mapInArrow(prefixes, "s binary, n long, tokens array<long>").dropDuplicates(["s"])
-    over = F.col("pos") - (F.col("n") - F.ceil(F.col("n") * percent / 100)) + 1
-    posted, place = written(sets.select("s", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "s", F.col("n").cast("int").alias("n"), F.greatest(F.lit(1), over).cast("int").alias("level")))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = cut(posted.join(lists, "token"))
+    def answer(key: tuple, part: pa.Table) -> pa.Table:
+        asked = [_numbers(x.as_py()) for x in part.column("keys")]
+        _, at = np.unique(np.concatenate(asked), return_inverse=True)
+        df = np.bincount(at, weights=np.concatenate([_numbers(x.as_py()) for x in part.column("times")])).astype(np.uint32)[at]
+        cells = [_planes(x) for x in np.split(df, np.cumsum([len(x) for x in asked])[:-1])]
+        return pa.table({"slab": part.column("slab"), "group": part.column("group"), "df": pa.array(cells, pa.binary())})
+
+    answers = slabs.select("slab", "tokens").mapInArrow(ask, "group int, slab long, keys binary, times binary").groupBy("group").applyInArrow(answer, "slab long, group int, df binary")
+    told = slabs.join(answers.groupBy("slab").agg(F.collect_list(F.struct("group", "df")).alias("df")), "slab").select("s", "n", "tokens", "df")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, names = np.arange(1, longest + 1), ["s", "n", "l", "bundle", "tokens", "about"]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s, n, tokens, df = (batch.column(k)[i].as_py() for k in range(4))
+                n, tokens = np.frombuffer(n, dtype="<i8"), np.frombuffer(tokens, dtype="<u8")
+                _, at = np.unique(_asked(tokens, groups), return_inverse=True)
+                df = np.concatenate([_numbers(x["df"]) for x in sorted(df, key=lambda x: x["group"])])[at].astype(np.int64)
+                size = _length(n, percent, longest)
+                own = np.repeat(np.arange(len(n)), size)
+                pos = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+                level = np.maximum(1, pos - (n - need(n, percent))[own] + 1)
+                more = df > 1
+                own, tokens, df, level = own[more], tokens[more], df[more], level[more]
+                if not len(own):
+                    continue
+                # The cost of l: postings read, and a candidate for every l of them at most.
+                read = np.cumsum(np.bincount(own * longest + level - 1, weights=df, minlength=len(n) * longest).reshape(-1, longest), axis=1)
+                ell = np.minimum(np.argmin(read * (1 + VERIFY / levels * n[:, None]), axis=1) + 1, np.maximum(1, need(n, percent)))
+                first = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+                bundle, row = np.minimum.reduceat(tokens.view(np.int64), first), own[first]
+                offsets = pa.array(np.r_[first, len(own)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (tokens.view(np.int64), df * 256 + level)]
+                yield pa.RecordBatch.from_arrays([pa.array([s[16 * r : 16 * r + 16] for r in row], pa.binary()), pa.array(n[row]), pa.array(ell[row].astype(np.int32)), pa.array(bundle), *lists], names=names)
+        tidy()
+
+    picked = cut(told.mapInArrow(kept, "s binary, n long, l int, bundle long, tokens array<long>, about array<long>").dropDuplicates(["s"]))
     remove(spark, place)
+    released(spark)
+    # Documents that share tokens get neighbouring numbers, so that candidates are in few blocks.
+    return dense_index(picked, "bundle", "s").drop("bundle")
+
 
-    # The cost of l: postings read, and a candidate for every l of them at most.
-    sums = [F.sum(F.when(F.col("level") <= k, F.col("df"))).alias(f"c{k}") for k in range(1, longest + 1)]
-    cost = F.array(*[F.struct((F.coalesce(F.col(f"c{k}"), F.lit(0)) * (1 + VERIFY / k * F.col("n"))).alias("cost"), F.lit(k).alias("l")) for k in range(1, longest + 1)])
-    picked = shared.groupBy("s").agg(F.first("n").alias("n"), F.min("token").alias("bundle"), *sums)
-    most = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100)).cast("int")
-    picked = picked.select("s", F.least(F.array_min(cost)["l"], most).cast("int").alias("l"), "bundle")
-    # Documents that share their rarest tokens get neighbouring numbers, so that candidates are in few blocks.
-    numbered = cut(dense_index(picked, "bundle", "s").select("s", "l", F.col("idx")))
-    posts = shared.join(numbered, "s").select("token", "df", "idx", "n", "level", "l")
+def _wanted(posted: DataFrame, percent: int, block: int) -> DataFrame:
+    """(bp, w) for each pair of blocks that holds candidates: w has documents r and their partners o."""
+    each = posted.select("idx", "n", "l", F.explode(F.arrays_zip("tokens", "about")).alias("t"))
+    posts = each.select(F.col("t.tokens").alias("token"), F.shiftright("t.about", 8).alias("df"), "idx", "n", F.col("t.about").bitwiseAND(F.lit(255)).cast("int").alias("level"), "l")
     part = F.pmod(F.xxhash64("idx"), F.ceil(F.col("df") / CHUNK)).cast("int")
     chunks = cut(posts.withColumn("part", part).groupBy("token", "part").agg(F.collect_list(F.struct("n", "idx", "level", "l")).alias("x"), F.first("df").alias("df")))
     fields = lambda x, p="": [F.col(f"{x}.{c}").alias(p + c) for c in ("n", "idx", "level", "l")]
@@ -177,7 +251,7 @@ def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: i
         for batch in batches:
             yield from _probe(batch, percent)
 
-    alone = chunks.where(F.col("df") <= CHUNK).select(*fields("x"), *fields("x", "o_")[:3])
+    alone = chunks.where((F.col("df") <= CHUNK) & (F.size("x") > 1)).select(*fields("x"), *fields("x", "o_")[:3])
     # each chunk of a crowded list goes to each of the list's chunks, and one task has one of them and all that come to it
     crowded = cut(chunks.where(F.col("df") > CHUNK).select("token", "part", "df", "x"))
     sent = crowded.select("token", F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / CHUNK).cast("int") - 1)).alias("part"), "x")
@@ -208,7 +282,27 @@ def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: i
 
     gathered = found.groupBy("r").agg(F.first("l").alias("l"), F.collect_list("other").alias("other")).mapInArrow(counted, "rb long, ob long, r long, o array<long>")
     # a checkpointed row keeps its number
-    wanted = cut(gathered.groupBy("rb", "ob").agg(F.collect_list(F.struct("r", "o")).alias("w"))).select(F.monotonically_increasing_id().alias("bp"), "w")
+    return cut(gathered.groupBy("rb", "ob").agg(F.collect_list(F.struct("r", "o")).alias("w"))).select(F.monotonically_increasing_id().alias("bp"), "w")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, n_shingles, component_id, set_id) for every row; how: words, percent, longest, block."""
+    labelled = cut(_labelled(docs, row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string")), id_col, text_col, **how).select("id", "s", "n", "c"))
+    names = labelled.groupBy("c").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    return join_groups(labelled, names, "c", "rows").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("s").alias("set_id"))
+
+
+def _labelled(docs: DataFrame, key: Column, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
+    """(id, key, s, n, c) for every row: rows of one component have one c. key: a hash of the row that holds its text; rows
+    are told by it, as their ids may be null or repeated."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
+    member, counts = _sets(texts, words, BUCKETS)
+    posted = _posted(texts, counts, words, percent, longest)
+    numbered = cut(posted.select("s", "l", "idx"))
+    wanted = _wanted(posted, percent, block)
+    del posted
+    released(spark)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
